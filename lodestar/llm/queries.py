@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import table
+from lodestar.llm import quality
+from lodestar.llm.common import new_folder, sized, table
+from lodestar.llm.mixing import mix_copies
+from lodestar.llm.sharding import external_shuffle, write_shards
 from lodestar.llm.simhash import simhash_groups
 from lodestar.llm.token_counts import token_counts
 
@@ -17,14 +20,42 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return quality.quality_verdicts(docs).select("doc_id", *quality.METRICS, "base_failed", "kept")
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = new_folder(spark, "shards")
+    write_shards(external_shuffle(table(spark, sf_dir, "documents")), at)
+    return spark.read.parquet(at).select(
+        "doc_id",
+        (sized("text") + 1).alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        F.col("shard").cast("int").alias("shard"),
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_copies(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_quality_rules": quality.ORACLE,
+}
