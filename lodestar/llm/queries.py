@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import quality
+from lodestar.llm import quality, url_filters, warc
 from lodestar.llm.common import new_folder, sized, table
 from lodestar.llm.mixing import mix_copies
 from lodestar.llm.sharding import external_shuffle, write_shards
@@ -13,6 +13,11 @@ from lodestar.llm.simhash import simhash_groups
 from lodestar.llm.token_counts import token_counts
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_warc(table(spark, sf_dir, "pages"))
+    return warc.read_warc(archives, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -20,6 +25,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    decided = url_filters.url_filter(url_filters.captures_of(pages), url_filters.entries_of(pages))
+    return decided.select("page_id", "fetched_at", "blocked", "pattern", "valid_from")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return quality.quality_verdicts(docs).select("doc_id", *quality.METRICS, "base_failed", "kept")
@@ -49,7 +60,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op3_token_counts": op3_token_counts,
+    "op4_url_filters": op4_url_filters,
     "op6_quality_rules": op6_quality_rules,
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
@@ -57,5 +70,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_warc": warc.ORACLE,
+    "op4_url_filters": url_filters.ORACLE,
     "op6_quality_rules": quality.ORACLE,
 }
