@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import quality, url_filters, warc
+from lodestar.llm import quality, toxicity, url_filters, warc
 from lodestar.llm.common import new_folder, sized, table
 from lodestar.llm.mixing import mix_copies
 from lodestar.llm.sharding import external_shuffle, write_shards
@@ -36,6 +36,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(docs).select("doc_id", *quality.METRICS, "base_failed", "kept")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.toxicity_scores(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = new_folder(spark, "shards")
     write_shards(external_shuffle(table(spark, sf_dir, "documents")), at)
@@ -64,6 +70,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_url_filters": op4_url_filters,
     "op6_quality_rules": op6_quality_rules,
+    "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
