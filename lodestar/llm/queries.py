@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import quality, toxicity, url_filters, warc
 from lodestar.llm.common import new_folder, sized, table
+from lodestar.llm.decontamination import benchmark_matches
 from lodestar.llm.mixing import mix_copies
 from lodestar.llm.sharding import external_shuffle, write_shards
 from lodestar.llm.simhash import simhash_groups
@@ -31,6 +32,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select("page_id", "fetched_at", "blocked", "pattern", "valid_from")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return quality.quality_verdicts(docs).select("doc_id", *quality.METRICS, "base_failed", "kept")
@@ -69,6 +74,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_token_counts": op3_token_counts,
     "op4_url_filters": op4_url_filters,
+    "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,

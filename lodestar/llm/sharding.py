@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 from lodestar.llm.common import sized
 
+#: Buckets whose offsets are broadcast, at 12 bytes each; beyond, Spark's own join choice holds.
+MOST_OFFSETS = 1_000_000
+
 
 def external_shuffle(docs: DataFrame, shards: int = 8, seed: int = 42, bucket_bytes: int = 32 << 20, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows of ``docs`` in random order, with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard).
@@ -50,7 +53,8 @@ def external_shuffle(docs: DataFrame, shards: int = 8, seed: int = 42, bucket_by
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_offset"))
     whole = F.col("_offset") + F.col("_place")
-    joined = shuffled.join(offsets, "_bucket")
+    # one short row per bucket: broadcast up to MOST_OFFSETS of them, so that texts aren't shuffled again
+    joined = shuffled.join(F.broadcast(offsets) if n <= MOST_OFFSETS else offsets, "_bucket")
     return joined.withColumns({"shard": F.pmod(whole, F.lit(shards)).cast("int"), "slot": F.floor(whole / shards).cast("long")}).select(*kept.columns, "shard", "slot")
 
 
