@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import quality, toxicity, url_filters, warc
+from lodestar.llm import licenses, quality, toxicity, url_filters, warc
 from lodestar.llm.common import new_folder, sized, table
 from lodestar.llm.decontamination import benchmark_matches
 from lodestar.llm.mixing import mix_copies
@@ -14,6 +14,11 @@ from lodestar.llm.simhash import simhash_groups
 from lodestar.llm.token_counts import token_counts
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = licenses.files_of(table(spark, sf_dir, "documents"))
+    return licenses.license_scan(files).select("doc_id", "own_license", "own_score", "license", "inherited_from")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_warc(table(spark, sf_dir, "pages"))
     return warc.read_warc(archives, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -71,6 +76,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_warc": op2_warc,
     "op3_token_counts": op3_token_counts,
     "op4_url_filters": op4_url_filters,
@@ -83,6 +89,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_license_scan": licenses.ORACLE,
     "op2_warc": warc.ORACLE,
     "op4_url_filters": url_filters.ORACLE,
     "op6_quality_rules": quality.ORACLE,
