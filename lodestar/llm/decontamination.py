@@ -7,13 +7,16 @@ Some positions of the embedded string, sampled anew in each repetition, make an
 key. Windows and items that share a key are candidates, and an exact edit distance to the best
 part of the window's surroundings decides.
 
-Windows are walked only if they hold enough word pairs of the benchmark: k edits change at most
-2 k of the pairs, so this loses nothing.
+Windows are walked only where they can match: every word pair of an item puts the item's beginning
+at a place of the document, and as k edits change at most 2 k of the pairs and move the rest to at most
+k + 1 places, one place has enough of them in every passage. Windows that overlap leave a task
+as one region with all their keys.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,27 +25,78 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import kept_parts, slices, written
+from lodestar.llm.common import slices, written
 
-#: Repetitions and sampled positions of a key; chosen so that items with the largest number of
-#: edits share a key in over nine of ten cases (tests measure it).
-REPEATS, SAMPLED = 32, 3
-#: Bits of the maps of benchmark pairs and keys that go to every task, whatever the benchmark's size.
+#: Random walks, keys sampled from each walk, and positions of a key; chosen so that items with the
+#: largest number of edits share a key in over nine of ten cases (tests measure it).
+WALKS, KEYS, SAMPLED = 8, 4, 3
+REPEATS = WALKS * KEYS
+#: Bits of the map of benchmark keys that goes to every task, whatever the benchmark's size.
 MAP_BITS = 23
+#: Words of the benchmark items that are sought at once; a larger benchmark takes several passes.
+BLOCK_WORDS = 2_000_000
 SHORTEST = 8
 
+#: Bytes of words: digits, letters a-z and all of multi-byte characters but the signs below.
+_WORD = np.zeros(256, dtype=bool)
+_WORD[ord("0") : ord("9") + 1] = _WORD[ord("a") : ord("z") + 1] = _WORD[0x80:] = True
 
-def normal_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Row offsets and lower-case words of letters and digits."""
-    spaced = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}\p{N}]+", " ")
-    return kept_parts(pc.split_pattern(spaced, " "))
 
+def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row offsets (rows + 1), first and last byte of each word, and the bytes of all lower-cased texts.
 
-def hashed(flat: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
-    """A 64-bit hash of each word."""
-    coded = flat.dictionary_encode()
-    own = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()], dtype=np.uint64)
-    return own[coded.indices.to_numpy(zero_copy_only=False)], coded
+    Signs are all ASCII characters but letters and digits, U+0080 to U+00BF, the general
+    punctuation U+2000 to U+207F and the CJK signs U+3000 to U+303F; words lie between them.
+    """
+    texts = pc.utf8_lower(pc.fill_null(texts, "")).cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(texts) else np.zeros(0, np.uint8)
+    ends = ends - ends[0] if len(texts) else np.zeros(1, np.int64)
+    word = _WORD[data]
+    for first, second, length in ((0xC2, None, 2), (0xE2, (0x80, 0x81), 3), (0xE3, (0x80,), 3)):
+        at = np.flatnonzero(data == first)
+        if second is not None and len(at):
+            at = at[np.isin(data[at + 1], second)]
+        for k in range(length):
+            word[at + k] = False
+    inner = ends[1:-1][ends[1:-1] < len(data)]
+    opens = word.copy()
+    opens[1:] &= ~word[:-1]
+    opens[inner] = word[inner]
+    closes = word.copy()
+    closes[:-1] &= ~word[1:]
+    last = inner[inner > 0] - 1
+    closes[last] = word[last]
+    starts = np.flatnonzero(opens)
+    return np.searchsorted(starts, ends), starts, np.flatnonzero(closes) + 1, data
+
+
+def hashed(starts: np.ndarray, ends: np.ndarray, data: np.ndarray, at_once: int = 4 << 20) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial of its bytes, mixed."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    lengths = ends - starts
+    power = np.full(int(lengths.max(initial=0)) + 1, 0x9E3779B97F4A7C15, dtype=np.uint64)
+    power[0] = 1
+    power = np.cumprod(power)
+    total = np.cumsum(lengths)
+    first = 0
+    while first < len(starts):
+        base = total[first] - lengths[first]
+        stop = max(first + 1, int(np.searchsorted(total, base + at_once, side="right")))
+        mine = lengths[first:stop]
+        begin = np.cumsum(mine) - mine
+        place = np.arange(int(mine.sum())) - np.repeat(begin, mine)
+        values = (data[np.repeat(starts[first:stop], mine) + place].astype(np.uint64) + np.uint64(1)) * power[place]
+        out[first:stop] = np.add.reduceat(values, begin)
+        first = stop
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(29))
+
+
+def normal_text(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> str:
+    """Words joined by blanks."""
+    return " ".join(data[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
 
 
 def pairs(h: np.ndarray) -> np.ndarray:
@@ -51,12 +105,12 @@ def pairs(h: np.ndarray) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def ladder(longest: int) -> list[int]:
-    """Window lengths: an item is represented by its first words, as many as the largest length that fits."""
-    out = [SHORTEST]
-    while out[-1] * 1.1 <= longest or out[-1] + 1 <= longest:
-        out.append(max(out[-1] + 1, int(out[-1] * 1.1)))
-    return [x for x in out if x <= longest]
+def window_length(n: int) -> int:
+    """The window length of an item of ``n`` words, on a ladder of steps of a tenth: its first words, over nine tenths."""
+    length = SHORTEST
+    while (longer := max(length + 1, int(length * 1.1))) <= n:
+        length = longer
+    return length
 
 
 def edits(n: int, rate: float) -> int:
@@ -67,18 +121,23 @@ def embedding_keys(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, length:
     """LSH keys (windows x REPEATS) of windows of at most ``length`` words; behind its end a window reads blanks."""
     out = np.empty((len(starts), REPEATS), dtype=np.uint64)
     padded = np.append(h, np.uint64(0))
-    for r in range(REPEATS):
-        rng = np.random.default_rng([seed, length, r])
-        chosen = np.sort(rng.choice(3 * length, SAMPLED, replace=False))
+    for w in range(WALKS):
+        rng = np.random.default_rng([seed, length, w])
         move = rng.integers(0, 1 << 63, 3 * length, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        at, key = starts.copy(), np.full(len(starts), xxhash.xxh64_intdigest(f"{length}/{r}"), dtype=np.uint64)
-        for j in range(int(chosen[-1]) + 1):
+        chosen = [np.sort(rng.choice(3 * length, SAMPLED, replace=False)) for _ in range(KEYS)]
+        takes: dict[int, list[int]] = {}
+        for k, places in enumerate(chosen):
+            for j in places.tolist():
+                takes.setdefault(j, []).append(w * KEYS + k)
+        at = starts.copy()
+        for k in range(KEYS):
+            out[:, w * KEYS + k] = xxhash.xxh64_intdigest(f"{length}/{w}/{k}")
+        for j in range(max(takes) + 1):
             word = np.where(at < ends, padded[np.minimum(at, len(h))], np.uint64(0))
-            if j in chosen:
-                key = (key ^ word) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(29)
+            for k in takes.get(j, ()):
+                key = (out[:, k] ^ word) * np.uint64(0x9E3779B97F4A7C15)
+                out[:, k] = key ^ (key >> np.uint64(29))
             at += ((word * move[j]) >> np.uint64(63)).astype(np.int64)
-        out[:, r] = key
     return out
 
 
@@ -104,13 +163,12 @@ def substring_distance(pattern: list, text: list) -> int:
 
 
 def _items(benchmark: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Distinct normalised items of SHORTEST words or more: ``norm``, ``n``."""
+    """Normalised items of SHORTEST words or more: ``item``, ``norm``, ``n``."""
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            offsets, flat = normal_words(batch.column(text))
-            terms = flat.to_pylist()
-            joined = [" ".join(terms[i:j]) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+            offsets, starts, ends, data = word_spans(batch.column(text))
+            joined = [normal_text(data, starts[i:j], ends[i:j]) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.array(joined, pa.string()), pa.array(np.diff(offsets))], names=["item", "norm", "n"])
 
     kind = benchmark.schema[id_column].dataType.simpleString()
@@ -118,22 +176,77 @@ def _items(benchmark: DataFrame, id_column: str, text: str) -> DataFrame:
     return written(rows.filter(F.col("n") >= SHORTEST), "items")
 
 
-def _item_keys(items: DataFrame, lengths: list[int]) -> DataFrame:
-    """``norm``, ``key`` and the hashes of its word pairs (``pairs``) of each distinct item."""
+def _item_keys(items: DataFrame) -> DataFrame:
+    """``norm``, its LSH ``keys``, window ``length`` and the hashes of its word pairs, of each distinct item."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"norm": [], "keys": [], "pairs": []}
+            out = {"norm": [], "n": [], "length": [], "keys": [], "pairs": []}
             for norm in batch.column("norm").to_pylist():
-                h, _ = hashed(pa.array(norm.split(" ")))
-                length = max(x for x in lengths if x <= len(h))
+                _, starts, ends, data = word_spans(pa.array([norm]))
+                h = hashed(starts, ends, data)
+                length = window_length(len(h))
                 out["norm"].append(norm)
+                out["n"].append(len(h))
+                out["length"].append(length)
                 out["keys"].append(embedding_keys(h, np.zeros(1, np.int64), np.full(1, length), length)[0].view(np.int64).tolist())
                 out["pairs"].append(pairs(h).view(np.int64).tolist())
-            schema = pa.schema([("norm", pa.string()), ("keys", pa.list_(pa.int64())), ("pairs", pa.list_(pa.int64()))])
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
-
-    return items.select("norm").distinct().mapInArrow(keyed, "norm string, keys array<long>, pairs array<long>")
+            whole, many = pa.int64(), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("norm", pa.string()), ("n", whole), ("length", whole), ("keys", many), ("pairs", many)]))
+
+    return items.select("norm").distinct().mapInArrow(keyed, "norm string, n long, length long, keys array<long>, pairs array<long>")
+
+
+class _Beginnings:
+    """Where a word pair puts beginnings of items: offsets by window length, for each pair of the benchmark."""
+
+    def __init__(self, entries: np.ndarray, longest: dict[int, int], rate: float):
+        order = np.argsort(entries[:, 0].view(np.uint64), kind="stable")
+        self.hashes, self.length, self.back = entries[order, 0].view(np.uint64), entries[order, 1], entries[order, 2]
+        self.known = np.unique(self.hashes)
+        self.first = np.searchsorted(self.hashes, self.known)
+        self.count = np.diff(np.append(self.first, len(self.hashes)))
+        self.longest, self.rate = longest, rate
+
+    def windows(self, h: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each length, first and last word of the windows that can match."""
+        p = pairs(h)
+        at = np.minimum(np.searchsorted(self.known, p), len(self.known) - 1)
+        hit = self.known[at] == p
+        before = np.concatenate([[0], np.cumsum(hit, dtype=np.int64)])
+        where = np.flatnonzero(hit)
+        row = np.searchsorted(offsets, where, side="right") - 1
+        where, row, at = where[where + 1 < offsets[row + 1]], row[where + 1 < offsets[row + 1]], at[where[where + 1 < offsets[row + 1]]]
+        most = max(1, (4 << 20) // max(1, int(self.count.max())))
+        parts = []
+        for i in range(0, len(where), most):
+            n = self.count[at[i : i + most]]
+            entry = np.repeat(self.first[at[i : i + most]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            start = np.maximum(np.repeat(where[i : i + most], n) - self.back[entry], offsets[np.repeat(row[i : i + most], n)])
+            parts.append(np.unique((self.length[entry] << 40) + start, return_counts=True))
+        if not parts:
+            return
+        codes, place = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        votes = np.bincount(place, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+        for length, longest in self.longest.items():
+            k = edits(longest, self.rate)
+            i, j = np.searchsorted(codes, [length << 40, (length + 1) << 40])
+            a = (codes[i:j] & ((1 << 40) - 1))[votes[i:j] * (k + 1) >= length - 1 - 2 * k]
+            b = np.minimum(a + length, offsets[np.searchsorted(offsets, a, side="right")])
+            fits = (b - a >= max(2, length - k)) & (before[b - 1] - before[a] >= length - 1 - 2 * k)
+            yield length, a[fits], b[fits]
+
+
+def regions(first: np.ndarray, last: np.ndarray, most: int = 1024) -> Iterator[np.ndarray]:
+    """Runs of spans, given in the order of ``first``, that overlap and begin within ``most`` words: each run's numbers."""
+    at = 0
+    while at < len(first):
+        reach = np.maximum.accumulate(last[at : at + 4 * most])
+        stop = min(int(np.searchsorted(first, first[at] + most, side="right")), at + len(reach))
+        apart = np.flatnonzero(first[at + 1 : stop] >= reach[: stop - at - 1])
+        stop = at + 1 + int(apart[0]) if len(apart) else stop
+        yield np.arange(at, stop)
+        at = stop
 
 
 def _bit_map(hashes: DataFrame) -> np.ndarray:
@@ -158,67 +271,73 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2,
     insertions, deletions and substitutions of words; case and signs don't count. Items of
     fewer than eight words are too short to tell and match nothing; null and blank texts neither.
     Equal items are sought once and all reported. Documents of one id count as one.
-    Only windows with a benchmark's key leave a task: their keys and words, not the texts.
+    Only windows with a benchmark's key leave a task: their keys and words, not the texts. The
+    pairs of BLOCK_WORDS words of the benchmark go to every task; a larger benchmark is
+    sought block by block.
     """
     items = _items(benchmark, item_column, item_text)
-    found = items.agg(F.max("n")).first()[0] or 0
-    wanted = [r.n for r in items.select("n").distinct().filter("n <= 1000000").collect()] if found else []
-    lengths = ladder(found)
-    longest: dict[int, int] = {}
-    for n in wanted:
-        length = max(x for x in lengths if x <= n)
-        longest[length] = max(longest.get(length, 0), n)
-    indexed = written(_item_keys(items, lengths or [SHORTEST]), "item-keys")
-    pair_map = _bit_map(indexed.select(F.explode("pairs").alias("h")))
+    indexed = written(_item_keys(items), "item-keys")
+    blocks = -(-(indexed.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS)
+    block = F.pmod(F.xxhash64("norm"), F.lit(max(1, blocks)))
+    sure = [_block_matches(docs, indexed.filter(block == k), rate, id_column, text) for k in range(max(1, blocks))]
+    best = reduce(DataFrame.unionByName, sure).groupBy(id_column, "norm").agg(F.min("distance").alias("distance"))
+    return best.join(items, "norm").select(id_column, F.col("item").alias(item_column), "distance", F.col("n").alias("n_words"))
+
+
+def _block_matches(docs: DataFrame, indexed: DataFrame, rate: float, id_column: str, text: str) -> DataFrame:
+    """``id_column``, ``norm`` and ``distance`` of matches of some items."""
+    longest = {r.length: r.n for r in indexed.groupBy("length").agg(F.max("n").alias("n")).collect()}
+    entries = indexed.select("length", F.posexplode("pairs").alias("back", "h")).select("h", "length", F.col("back").cast("long")).toPandas().to_numpy(dtype=np.int64)
     key_map = _bit_map(indexed.select(F.explode("keys").alias("h")))
+    beginnings = _Beginnings(entries, longest, rate) if len(entries) else None
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            offsets, flat = normal_words(batch.column(text))
-            if len(flat) < SHORTEST or not longest:
+            offsets, starts, ends, data = word_spans(batch.column(text))
+            if len(starts) < 2 or beginnings is None:
                 continue
-            h, coded = hashed(flat)
-            known = np.concatenate([[0], np.cumsum(_in_map(pair_map, pairs(h)), dtype=np.int64)])
-            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            first, stop = np.arange(len(h)), offsets[1:][row]
-            for length, most in longest.items():
-                least = length - 1 - 2 * edits(most, rate)
-                ends = np.minimum(first + length, stop)
-                starts = np.flatnonzero((known[ends - 1] - known[first] >= least) & (ends - first >= length - edits(most, rate)))
-                for at in range(0, len(starts), 20_000):
-                    part = starts[at : at + 20_000]
-                    keys = embedding_keys(h, part, ends[part], length)
-                    hit = _in_map(key_map, keys)
-                    rows = {id_column: [], "keys": [], "around": []}
-                    for i in np.flatnonzero(hit.any(axis=1)):
-                        r = row[part[i]]
-                        a = max(int(offsets[r]), int(part[i]) - edits(most, rate))
-                        b = min(int(offsets[r + 1]), int(part[i]) + most + edits(most, rate))
-                        rows[id_column].append(batch.column(id_column)[int(r)].as_py())
-                        rows["keys"].append(keys[i][hit[i]].view(np.int64).tolist())
-                        rows["around"].append(" ".join(coded[a:b].dictionary_decode().to_pylist()))
-                    if rows["keys"]:
-                        schema = pa.schema([(id_column, batch.column(id_column).type), ("keys", pa.list_(pa.int64())), ("around", pa.string())])
-                        yield pa.RecordBatch.from_pydict(rows, schema=schema)
+            h = hashed(starts, ends, data)
+            rows: dict[str, list] = {id_column: [], "keys": [], "around": []}
+            spans, found = [], []
+            for length, first, stop in beginnings.windows(h, offsets):
+                keys = embedding_keys(h, first, stop, length)
+                hit = _in_map(key_map, keys)
+                near, wide = np.flatnonzero(hit.any(axis=1)), edits(longest[length], rate)
+                r = np.searchsorted(offsets, first[near], side="right") - 1
+                a = np.maximum(offsets[r], first[near] - wide)
+                spans.append(np.stack([a, np.minimum(offsets[r + 1], first[near] + longest[length] + wide), r], axis=1))
+                found += [keys[i][hit[i]] for i in near.tolist()]
+            span = np.concatenate(spans) if spans else np.zeros((0, 3), np.int64)
+            order = np.lexsort((span[:, 1], span[:, 0]))
+            for run in regions(span[order, 0], span[order, 1]):
+                mine = order[run]
+                a, b = int(span[mine, 0].min()), int(span[mine, 1].max())
+                rows[id_column].append(batch.column(id_column)[int(span[mine[0], 2])].as_py())
+                rows["keys"].append(np.unique(np.concatenate([found[i] for i in mine])).view(np.int64).tolist())
+                rows["around"].append(normal_text(data, starts[a:b], ends[a:b]))
+            schema = pa.schema([(id_column, batch.column(id_column).type), ("keys", pa.list_(pa.int64())), ("around", pa.string())])
+            yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
     id_kind = docs.schema[id_column].dataType.simpleString()
     seen = docs.select(id_column, text).mapInArrow(windows, f"{id_column} {id_kind}, keys array<long>, around string")
     probes = seen.select(id_column, "around", F.explode("keys").alias("key"))
     index = indexed.select("norm", F.explode("keys").alias("key"))
-    candidates = probes.join(index, "key").select(id_column, "around", "norm").distinct()
+    # passages are common to many documents: each is verified once
+    around = written(probes.distinct(), "passages")
+    candidates = around.select("around", "key").distinct().join(index, "key").select("around", "norm").distinct()
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            norms, around = batch.column("norm").to_pylist(), batch.column("around").to_pylist()
+            norms, texts = batch.column("norm").to_pylist(), batch.column("around").to_pylist()
             split = [n.split(" ") for n in norms]
-            far = np.array([substring_distance(p, t.split(" ")) for p, t in zip(split, around, strict=True)], dtype=np.int64)
+            far = np.array([substring_distance(p, t.split(" ")) for p, t in zip(split, texts, strict=True)], dtype=np.int64)
             near = far <= np.array([edits(len(p), rate) for p in split], dtype=np.int64)
-            out = [batch.column(id_column), batch.column("norm"), pa.array(far)]
-            yield pa.RecordBatch.from_arrays(out, names=[id_column, "norm", "distance"]).filter(pa.array(near))
+            out = [batch.column("around"), batch.column("norm"), pa.array(far)]
+            yield pa.RecordBatch.from_arrays(out, names=["around", "norm", "distance"]).filter(pa.array(near))
 
-    sure = candidates.mapInArrow(verified, f"{id_column} {id_kind}, norm string, distance long")
-    best = sure.groupBy(id_column, "norm").agg(F.min("distance").alias("distance"))
-    return best.join(items, "norm").select(id_column, F.col("item").alias(item_column), "distance", F.col("n").alias("n_words"))
+    sure = candidates.mapInArrow(verified, "around string, norm string, distance long")
+    best = written(sure, "verified")
+    return around.select(id_column, "around").distinct().join(best, "around").select(id_column, "norm", "distance")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, id_column: str = "doc_id", text: str = "text") -> DataFrame:

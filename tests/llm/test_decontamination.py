@@ -1,6 +1,7 @@
 """Matches against brute force over all windows; recall of the LSH at the largest distance."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ def test_distance(pattern, text):
 
 
 def normal(text):
-    offsets, flat = dc.normal_words(pa.array([text]))
-    return flat.to_pylist()
+    _, starts, ends, data = dc.word_spans(pa.array([text]))
+    return [bytes(data[a:b]).decode() for a, b in zip(starts, ends, strict=True)]
 
 
 def brute(docs, items, rate=0.2):
@@ -44,6 +45,17 @@ def brute(docs, items, rate=0.2):
     return out
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("aB9é. -“”—。、ß\u00a0\n\u4e2d", max_size=12)), max_size=6))
+def test_words(texts):
+    offsets, starts, ends, data = dc.word_spans(pa.array(texts, pa.string()))
+    got = [[bytes(data[a:b]).decode() for a, b in zip(starts[i:j], ends[i:j], strict=True)] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+    assert got == [re.findall("[^\x00-/:-@\\[-`{-\x7f\x80-\xbf\u2000-\u207f\u3000-\u303f]+", (t or "").lower()) for t in texts]
+    h = dc.hashed(starts, ends, data, at_once=3)
+    flat = [w for row in got for w in row]
+    assert (h == dc.hashed(starts, ends, data)).all() and len(set(h.tolist())) == len(set(flat))
+
+
 def test_table_equals_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
