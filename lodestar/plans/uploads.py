@@ -10,8 +10,9 @@ from lodestar.operators import uploads as op
 from lodestar.plans.registry import query
 from lodestar.sources.drive import ENTRIES_SQL, entries, objects, table
 
-TOTAL = [F.desc("l_shipdate"), F.desc("l_partkey"), F.desc("l_suppkey"), F.desc("l_extendedprice"), F.desc("l_quantity"), F.desc("l_discount"), F.desc("l_tax")]
-TOTAL_SQL = "l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC, l_discount DESC, l_tax DESC"
+#: A total order of a part's writes.
+TOTAL = ("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+TOTAL_SQL = ", ".join(f"{c} DESC" for c in TOTAL)
 PARTS_SQL = f"""parts AS (SELECT l_orderkey AS session_id, l_linenumber AS part_number, (l_quantity * 1048576)::BIGINT AS size_bytes FROM lineitem
     QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {TOTAL_SQL}) = 1)"""
 PLAN_SQL = """plan AS (SELECT o_orderkey AS session_id, size_bytes, part_size, ceil(size_bytes / part_size::DOUBLE)::BIGINT AS part_count FROM (
@@ -21,7 +22,7 @@ PLAN_SQL = """plan AS (SELECT o_orderkey AS session_id, size_bytes, part_size, c
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").withColumns({"session_id": F.col("l_orderkey"), "part_number": F.col("l_linenumber")})
-    return op.latest_parts(lines, TOTAL).select("session_id", "part_number", F.round(F.col("l_quantity") * 1048576).cast("long").alias("size_bytes"))
+    return op.latest_parts(lines, [F.desc(c) for c in TOTAL]).select("session_id", "part_number", F.round(F.col("l_quantity") * 1048576).cast("long").alias("size_bytes"))
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
