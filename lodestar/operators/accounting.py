@@ -36,6 +36,24 @@ def share_state(shares: DataFrame, now: Column) -> DataFrame:
     return shares.withColumn("state", state)
 
 
+def resolved_shares(shares: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
+    """What the holder of a share (share_id, file_id, revoked_at, expires_at) sees: ``state`` and, if it is ``valid``, the file.
+
+    A share whose file is deleted is ``not_found``.
+    """
+    live = entries.filter(~F.col("deleted")).select("file_id", F.col("name").alias("_name"), F.col("size_bytes").alias("_size"), F.lit(True).alias("_live"))
+    seen = share_state(shares, now).join(live, "file_id", "left")
+    state = F.when((F.col("state") == "valid") & F.col("_live").isNull(), "not_found").otherwise(F.col("state"))
+    valid = state == "valid"
+    return seen.select("share_id", "file_id", state.alias("state"), F.when(valid, F.col("_name")).alias("name"), F.when(valid, F.col("_size")).alias("size_bytes"))
+
+
+def provisioned(users: DataFrame, roots: DataFrame) -> DataFrame:
+    """Root folders for active users (user_id, active) that have none; ids follow from the user, so a rerun adds nothing new."""
+    new = users.filter("active").select(F.col("user_id").alias("owner_id")).distinct().join(roots.select("owner_id"), "owner_id", "left_anti")
+    return new.select(F.sha2(F.concat(F.lit("root:"), "owner_id"), 256).alias("folder_id"), "owner_id", F.lit(None).cast("string").alias("parent_id"), F.lit("/").alias("name"))
+
+
 def imports(requests: DataFrame, entries: DataFrame) -> DataFrame:
     """Share imports, one per (user, share, key): ``request_id`` of the first, ``calls``, and ``outcome``.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +47,41 @@ def tags(objects: DataFrame, key: str = "object_id", text: str = "text", most: i
     return best.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x.word).alias("tags"))
 
 
+def replace_chunks(chunks: DataFrame, at: str, buckets: int = 64, key: str = "object_id") -> None:
+    """Writes the chunks of some documents under ``at`` in place of all that these documents had there.
+
+    The table is partitioned by a hash of the document; only the partitions of the given
+    documents are rewritten, and a rerun leaves the same rows.
+    """
+    spark = chunks.sparkSession
+    new = chunks.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    rows = new
+    try:
+        held = spark.read.schema(new.schema).parquet(at)
+        touched = held.join(new.select("bucket").distinct(), "bucket", "left_semi")
+        rows = new.unionByName(touched.join(new.select(key).distinct(), key, "left_anti").select(*new.columns))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(at)
+
+
+def task_states(log: DataFrame) -> DataFrame:
+    """Tasks of a log (dedupe_key, event_id, ts, kind): equal keys are one task.
+
+    ``task_id`` is the first request's event, ``requests`` counts them, and ``status`` is the last of
+    ``running``, ``succeeded`` and ``failed``, or ``pending``. Keys without a request are no tasks.
+    """
+    asked = F.col("kind") == "requested"
+    at = F.struct("ts", "event_id")
+    tasks = log.groupBy("dedupe_key").agg(
+        F.min_by("event_id", F.when(asked, at)).alias("task_id"),
+        F.count_if(asked).alias("requests"),
+        F.coalesce(F.max_by("kind", F.when(~asked, at)), F.lit("pending")).alias("status"),
+    )
+    return tasks.filter("requests > 0")
+
+
 def index_outcomes(files: DataFrame, documents: DataFrame, pipeline: str, model: str, most_bytes: int = MOST_OBJECT_BYTES) -> DataFrame:
     """What indexing does with each object of ``files`` (object_id, size_bytes, mime_type): ``outcome`` and ``error_code``.
 

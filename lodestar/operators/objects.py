@@ -76,6 +76,30 @@ def compare_and_set(current: DataFrame, commands: DataFrame, key: str = "file_id
     return joined.select("command_id", key, verdict.alias("verdict"), after.alias("version"))
 
 
+def deleted_files(entries: DataFrame, commands: DataFrame) -> DataFrame:
+    """Deletes of files (command_id, file_id, expected_version) against live entries with ``version``.
+
+    Each command gets its ``verdict``, the ``released_bytes`` of the owner's quota, and ``gc_requested``: whether
+    the content has no live entry left when all commands are done.
+    """
+    live = entries.filter(~F.col("deleted"))
+    verdicts = compare_and_set(live, commands)
+    applied = verdicts.filter("verdict = 'applied'").select("command_id", "file_id")
+    held = live.join(applied, "file_id", "left_anti").select("object_id").distinct().withColumn("_held", F.lit(True))
+    gone = live.join(applied, "file_id").join(held, "object_id", "left")
+    effects = gone.select("command_id", "size_bytes", (F.col("object_id").isNotNull() & F.col("_held").isNull()).alias("gc"))
+    return verdicts.join(effects, "command_id", "left").select(
+        "command_id", "file_id", "verdict", F.coalesce("size_bytes", F.lit(0)).cast("long").alias("released_bytes"), F.coalesce("gc", F.lit(False)).alias("gc_requested")
+    )
+
+
+def delete_list(gone: DataFrame, variants: DataFrame) -> DataFrame:
+    """Keys to delete of objects without references (object_id, object_key): their own and those of their ``variants``."""
+    own = gone.select("object_id", F.lit("object").alias("kind"), "object_key")
+    made = variants.join(gone.select("object_id"), "object_id", "left_semi").select("object_id", F.col("variant_type").alias("kind"), "object_key")
+    return own.unionByName(made)
+
+
 def cascaded(children: DataFrame, kept: DataFrame, key: str) -> DataFrame:
     """Children whose parent is kept."""
     return children.join(kept.select(key), key, "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.text import ANSWER_RUNES, collapsed, null_if_blank, prefix, stripped
 from lodestar.operators.search import InvalidInput
 
-MOST_QUESTION_RUNES, SEARCH_LIMIT, PER_FILE, MOST_EVIDENCE = 2000, 40, 2, 8
+MOST_QUESTION_RUNES, SEARCH_LIMIT, PER_FILE, MOST_EVIDENCE, MOST_FILES = 2000, 40, 2, 8, 50
 # The offline provider's sentences.
 NOTHING = "没有在当前网盘的授权文件中找到可用于回答的内容。"
 OPENING, CLOSING = "根据网盘中的相关内容，", " 可参考以下信息："
@@ -24,9 +24,11 @@ def checked_question(question: str) -> str:
 def evidence(hits: DataFrame, allowed: tuple[int, ...] = ()) -> DataFrame:
     """The first citations of hits (file_id, name, place, citations): two per file and eight in all, numbered in ``n``.
 
-    ``allowed`` restricts the files after the search, as the product does. Hits are at most
-    forty rows.
+    ``allowed``, of fifty files at most, restricts the files after the search, as the product does.
+    Hits are at most forty rows.
     """
+    if len(allowed) > MOST_FILES:
+        raise InvalidInput(f"a question names at most {MOST_FILES} files, not {len(allowed)}")
     kept = hits.filter(F.col("file_id").isin(*allowed)) if allowed else hits
     cited = kept.select("file_id", "name", "place", F.posexplode(F.slice("citations", 1, PER_FILE)).alias("at", "c")).filter("c.id <> ''")
     n = F.row_number().over(Window.orderBy("place", "at"))

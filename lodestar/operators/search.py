@@ -200,6 +200,11 @@ def search(entries: DataFrame, chunks: DataFrame, wanted: SearchInput) -> DataFr
     return fused(fulltext_candidates(entries, chunks, wanted), semantic_candidates(entries, chunks, wanted), wanted.limit)
 
 
+def as_json(hits: DataFrame) -> DataFrame:
+    """Hits as one JSON object each, in ``value``, with ``place`` to order them by."""
+    return hits.select("place", F.to_json(F.struct("file_id", "name", "score", "citations")).alias("value"))
+
+
 def cosine_topk(vectors: DataFrame, query: list[float], k: int = 40, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k nearest dense vectors by cosine, ties by key; an exact scan."""
     scored = vectors.select(key, F.round(cosine(F.col(vector), vector_literal(query)), 9).alias("score"))

@@ -31,6 +31,13 @@ def subtree(paths: DataFrame, folder_id: str) -> DataFrame:
     return paths.filter(F.array_contains("path", folder_id))
 
 
+def scoped(entries: DataFrame, paths: DataFrame, folder_id: str, include_subfolders: bool = True) -> DataFrame:
+    """Entries in a folder and, unless told otherwise, in those below it: a semi join before any ranking."""
+    if not include_subfolders:
+        return entries.filter(F.col("folder_id") == folder_id)
+    return entries.join(subtree(paths, folder_id).select("folder_id"), "folder_id", "left_semi")
+
+
 def breadcrumb(paths: DataFrame, folders: DataFrame) -> DataFrame:
     """Of each folder its ancestors and itself: ``folder_id``, ``depth`` from the root, ``ancestor_id``, ``name``."""
     steps = paths.select("folder_id", F.posexplode("path").alias("depth", "ancestor_id"))

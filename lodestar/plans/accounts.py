@@ -43,6 +43,35 @@ def share_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.share_state(shares, F.expr(NOW)).select("event_id", "state")
 
 
+@query(
+    "share_resolve",
+    f"""WITH e AS ({ENTRIES_SQL}), s AS (SELECT event_id AS share_id, user_id AS file_id, CASE WHEN event_id % 7 = 0 THEN 'revoked' WHEN event_id % 3 <> 0 AND ts + INTERVAL 10 DAY <= TIMESTAMP '2024-01-20' THEN 'expired' ELSE 'valid' END AS state FROM events),
+        j AS (SELECT s.share_id, s.file_id, CASE WHEN s.state = 'valid' AND l.file_id IS NULL THEN 'not_found' ELSE s.state END AS state, l.name, l.size_bytes FROM s LEFT JOIN (SELECT * FROM e WHERE NOT deleted) l ON l.file_id = s.file_id)
+        SELECT share_id, file_id, state, CASE WHEN state = 'valid' THEN name END AS name, CASE WHEN state = 'valid' THEN size_bytes END AS size_bytes FROM j""",
+)
+def share_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as shares of the file with the user's number."""
+    shares = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("share_id"),
+        F.col("user_id").alias("file_id"),
+        F.when(F.col("event_id") % 7 == 0, F.col("ts")).alias("revoked_at"),
+        F.when(F.col("event_id") % 3 != 0, F.col("ts") + F.expr("INTERVAL 10 DAYS")).alias("expires_at"),
+    )
+    return op.resolved_shares(shares, entries(spark, sf_dir), F.expr(NOW))
+
+
+@query(
+    "root_provisioning",
+    """SELECT sha256('root:' || c_custkey) AS folder_id, c_custkey AS owner_id, NULL::VARCHAR AS parent_id, '/' AS name FROM customer
+       WHERE c_acctbal >= 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""",
+)
+def root_provisioning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as users, active if they owe nothing; those with a pending order have a root."""
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") >= 0).alias("active"))
+    roots = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("owner_id"))
+    return op.provisioned(users, roots)
+
+
 @query(
     "import_dedupe",
     f"""WITH e AS ({ENTRIES_SQL}),

@@ -178,6 +178,35 @@ def cas_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.compare_and_set(entries(spark, sf_dir).withColumn("version", F.pmod("file_id", F.lit(3))), commands)
 
 
+@query(
+    "file_deletes",
+    f"""{E_SQL}, live AS (SELECT * FROM e WHERE NOT deleted), c AS (SELECT event_id AS command_id, user_id AS file_id, event_id % 3 AS expected FROM events),
+        j AS (SELECT c.command_id, c.file_id, l.file_id IS NOT NULL AS found, size_bytes, object_id, CASE WHEN l.file_id % 3 = expected THEN command_id END AS ok FROM c LEFT JOIN live l ON l.file_id = c.file_id),
+        r AS (SELECT *, coalesce(command_id = min(ok) OVER (PARTITION BY file_id), false) AS applied FROM j),
+        held AS (SELECT object_id FROM live WHERE object_id IS NOT NULL AND file_id NOT IN (SELECT file_id FROM r WHERE applied))
+        SELECT command_id, file_id, CASE WHEN NOT found THEN 'not_found' WHEN applied THEN 'applied' ELSE 'conflict' END AS verdict, CASE WHEN applied THEN size_bytes ELSE 0 END AS released_bytes,
+               applied AND object_id IS NOT NULL AND object_id NOT IN (FROM held) AS gc_requested FROM r""",
+)
+def file_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as deletes of the file with the user's number, each at the version its sender saw."""
+    commands = table(spark, sf_dir, "events").select(F.col("event_id").alias("command_id"), F.col("user_id").alias("file_id"), F.pmod("event_id", F.lit(3)).alias("expected_version"))
+    return op.deleted_files(entries(spark, sf_dir).withColumn("version", F.pmod("file_id", F.lit(3))), commands)
+
+
+@query(
+    "gc_delete_list",
+    f"""{E_SQL}, g AS (SELECT object_id FROM e WHERE object_id IS NOT NULL GROUP BY object_id HAVING bool_and(deleted))
+        SELECT object_id, 'object' AS kind, 'objects/sha256/' || substr(object_id, 1, 2) || '/' || object_id AS object_key FROM g
+        UNION ALL SELECT object_id, 'thumbnail', 'variants/' || object_id || '.jpg' FROM g""",
+)
+def gc_delete_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every object has a thumbnail; those of garbage go with it."""
+    known = objects(spark, sf_dir)
+    gone = op.garbage(known, entries(spark, sf_dir)).withColumn("object_key", object_path(F.col("object_id")))
+    made = known.select("object_id", F.lit("thumbnail").alias("variant_type"), F.concat(F.lit("variants/"), "object_id", F.lit(".jpg")).alias("object_key"))
+    return op.delete_list(gone, made)
+
+
 @query(
     "insert_or_ignore",
     """WITH c AS (SELECT n_nationkey::BIGINT AS k, n_name AS v FROM nation), n AS (SELECT user_id AS k, arg_min(event_type, event_id) AS v FROM events GROUP BY user_id)

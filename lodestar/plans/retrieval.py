@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import trigram_similarity
-from lodestar.operators import rag, search
+from lodestar.operators import rag, search, tree
 from lodestar.operators.documents import chunked
+from lodestar.plans.files import PATHS_SQL, SCOPE
 from lodestar.plans.registry import query
 from lodestar.plans.texts import CHUNKS_SQL, HASHED_SQL
-from lodestar.sources.drive import ENTRIES_SQL, STATUS_SQL, document_status, entries, objects, table
+from lodestar.sources.drive import ENTRIES_SQL, STATUS_SQL, document_status, entries, folders, objects, table
 
 NAME, TERMS, OWNER = "small gear", "the of and", 1
 WANTED = search.SearchInput(TERMS, "hybrid", 20, OWNER)
@@ -43,6 +44,23 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.name_search(entries(spark, sf_dir), search.SearchInput(NAME, "name", 20, OWNER))
 
 
+KINDS = ("text/plain", "application/json")
+
+
+@query(
+    "scoped_search",
+    f"""{PATHS_SQL}, e AS ({ENTRIES_SQL}), s AS (SELECT file_id, name, {NAME_SIM} AS sim FROM e
+          WHERE NOT deleted AND mime_type IN {KINDS} AND 'n' || (file_id % 25) IN (SELECT folder_id FROM paths WHERE list_contains(path, '{SCOPE}'))),
+        c AS (SELECT file_id, name, round(CASE WHEN name = '{NAME}' THEN 1.0 WHEN name ILIKE '{NAME}%' THEN 0.75 + sim * 0.25 ELSE sim END, 9) AS score FROM s WHERE name ILIKE '%{NAME}%' OR sim > 0.1)
+        SELECT * FROM c ORDER BY score DESC, file_id DESC LIMIT 20""",
+)
+def scoped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files lie in the nations' folders; a region's folder and all below it are searched, for two MIME types."""
+    filed = entries(spark, sf_dir).withColumn("folder_id", F.concat(F.lit("n"), F.pmod("file_id", F.lit(25))))
+    inside = tree.scoped(filed, tree.folder_paths(folders(spark, sf_dir)), SCOPE)
+    return search.name_search(inside, search.SearchInput(NAME, "name", 20, mime_types=KINDS))
+
+
 MATCHED = " AND ".join(f"list_contains(terms, '{t}')" for t in TERMS.split())
 FULL_SQL = f"""
     chunks AS ({CHUNKS_SQL}), status AS ({STATUS_SQL}),
@@ -174,6 +192,17 @@ def evidence_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked(spark, sf_dir).withColumn("n", F.col("n").cast("long"))
 
 
+ALLOWED = tuple(range(1, 200, 4))
+
+
+@query("evidence_allowed", f"WITH {ASKED_SQL.replace('AS seat FROM fused)', f'AS seat FROM fused WHERE file_id IN {ALLOWED})')} SELECT n, file_id, name, citation_id, excerpt FROM evidence")
+def evidence_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence from fifty chosen files, which are picked after the search."""
+    wanted = search.SearchInput(rag.checked_question(TERMS), "hybrid", rag.SEARCH_LIMIT, OWNER)
+    found = rag.evidence(search.search(entries(spark, sf_dir), indexed_chunks(spark, sf_dir), wanted), ALLOWED)
+    return found.withColumn("n", F.col("n").cast("long"))
+
+
 @query(
     "answer_assembly",
     f"""WITH {ASKED_SQL}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import text, vectors
 from lodestar.operators import documents
 from lodestar.plans.registry import query
-from lodestar.sources.drive import objects, table
+from lodestar.sources.drive import document_status, objects, table
 
 CLEAN = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 CHUNKS_SQL = f"""
@@ -85,18 +85,48 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "index_outcomes",
     """SELECT object_id, outcome, CASE WHEN outcome = 'unsupported' THEN 'ai.unsupported_type' END AS error_code FROM (
-         SELECT p.page_id AS object_id, CASE WHEN p.page_id % 3 = 0 THEN 'current' WHEN p.page_id % 2 = 1 THEN 'unsupported' ELSE 'process' END AS outcome FROM pages p)""",
+         SELECT p.page_id AS object_id, CASE WHEN p.url LIKE 'https:%' THEN 'current' WHEN p.page_id % 2 = 1 THEN 'unsupported' ELSE 'process' END AS outcome FROM pages p)""",
 )
 def index_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as files whose names and types alternate: HTML is read only as an octet stream with a source name."""
+    """Pages as files whose names and types alternate: HTML is read only as an octet stream with a source name. Those of secure sites are indexed."""
     pages = table(spark, sf_dir, "pages")
     name = F.concat("page_id", F.lit(".html"))
     raw = F.when(F.col("page_id") % 2 == 1, "text/html").otherwise("application/octet-stream")
     files = pages.select(F.col("page_id").alias("object_id"), F.octet_length("html").alias("size_bytes"), text.effective_mime(raw, name).alias("mime_type"))
-    known = pages.filter("page_id % 3 = 0").select(F.col("page_id").alias("object_id"), F.lit("indexed").alias("status"), F.lit("p2").alias("pipeline_version"), F.lit("m1").alias("model_version"))
+    known = pages.filter("url LIKE 'https:%'").select(F.col("page_id").alias("object_id"), F.lit("indexed").alias("status"), F.lit("p2").alias("pipeline_version"), F.lit("m1").alias("model_version"))
     return documents.index_outcomes(files, known, "p2", "m1")
 
 
+@query("stored_chunks", f"SELECT object_id, ordinal, md5(content) AS content_md5 FROM ({CHUNKS_SQL})")
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk table, first written with other content for labelled documents, which are then indexed again."""
+    from lodestar.functions.checkpoints import stream_dir
+
+    at = stream_dir(spark, "chunks")
+    labelled = document_status(spark, sf_dir).select("object_id")
+    rows = documents.chunked(objects(spark, sf_dir))
+    again = rows.join(labelled, "object_id", "left_semi")
+    stale = again.select("object_id", (F.col("ordinal") + 1).alias("ordinal"), F.lit("stale").alias("content"))
+    documents.replace_chunks(rows.join(labelled, "object_id", "left_anti").unionByName(stale), at, 16)
+    documents.replace_chunks(again, at, 16)
+    return spark.read.parquet(at).select("object_id", "ordinal", F.md5("content").alias("content_md5"))
+
+
+TASK_SQL = """
+    WITH log AS (SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') AS dedupe_key, event_id, ts,
+                        CASE event_type WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'requested' END AS kind FROM events)
+    SELECT dedupe_key, arg_min(event_id, (ts, event_id)) FILTER (kind = 'requested') AS task_id, count(*) FILTER (kind = 'requested') AS requests,
+           coalesce(arg_max(kind, (ts, event_id)) FILTER (kind <> 'requested'), 'pending') AS status FROM log GROUP BY dedupe_key HAVING count(*) FILTER (kind = 'requested') > 0"""
+
+
+@query("reprocess_tasks", TASK_SQL)
+def reprocess_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a log of tasks, one task per user and day."""
+    step = F.when(F.col("event_type") == "click", "running").when(F.col("event_type") == "purchase", "succeeded").when(F.col("event_type") == "error", "failed").otherwise("requested")
+    key = F.concat(F.col("user_id"), F.lit(":"), F.date_format("ts", "yyyy-MM-dd"))
+    return documents.task_states(table(spark, sf_dir, "events").select(key.alias("dedupe_key"), "event_id", "ts", step.alias("kind")))
+
+
 @query("decode_text")
 def decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bytes through the extraction path: half in UTF-8, half in GB18030 where that can hold it."""

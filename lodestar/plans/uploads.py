@@ -67,18 +67,19 @@ def nested_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "verify_objects",
-    """WITH known AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 2 = 0),
-       s AS (SELECT doc_id, sha256(text) AS declared, strlen(text)::BIGINT AS size, doc_id % 5 = 0 AS missing, doc_id % 7 = 0 AS wrong FROM documents)
+    """WITH known AS (SELECT DISTINCT sha256(text) AS h FROM documents JOIN labels USING (doc_id)),
+       s AS (SELECT doc_id, sha256(text) AS declared, strlen(text)::BIGINT AS size, lang = 'es' AS missing, lang = 'fr' AS wrong FROM documents)
        SELECT doc_id AS session_id, CASE WHEN missing OR wrong THEN 'failed' WHEN h IS NOT NULL THEN 'reused' ELSE 'created' END AS outcome,
               CASE WHEN missing OR wrong THEN 'upload.verification_failed' END AS error_code, CASE WHEN missing OR wrong THEN size ELSE 0 END AS released_bytes
        FROM s LEFT JOIN known ON h = declared""",
 )
 def verify_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as uploads: every fifth was never staged, every seventh has other bytes, half of the content is known."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("session_id"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size_bytes"))
-    staged = docs.filter("session_id % 5 <> 0").withColumn("sha256", F.when(F.col("session_id") % 7 == 0, "0").otherwise(F.col("sha256")))
-    known = docs.filter("session_id % 2 = 0").select(F.col("sha256").alias("object_id")).distinct()
-    return op.verified(docs, known, staged)
+    """Documents as uploads: Spanish ones were never staged, French ones have other bytes, and labelled content is known."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("session_id"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size_bytes"), "lang")
+    staged = docs.filter("lang <> 'es'").withColumn("sha256", F.when(F.col("lang") == "fr", "0").otherwise(F.col("sha256")))
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("session_id"))
+    known = docs.join(labelled, "session_id", "left_semi").select(F.col("sha256").alias("object_id")).distinct()
+    return op.verified(docs.drop("lang"), known, staged)
 
 
 @query(
@@ -93,8 +94,8 @@ def expire_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     "upload_decision",
     f"""WITH e AS ({ENTRIES_SQL}),
         r AS (SELECT doc_id, doc_id % 4 AS owner_id, source AS folder_id, CASE WHEN doc_id % 3 = 0 THEN (SELECT any_value(name) FROM e WHERE file_id = doc_id) ELSE 'new-' || doc_id END AS name,
-                     CASE WHEN doc_id % 5 = 0 THEN 'x' WHEN doc_id % 2 = 0 THEN sha256(text) ELSE sha256('new' || doc_id) END AS h, strlen(text) AS size, 'k' || (doc_id % 100) AS key FROM documents),
-        s AS (SELECT DISTINCT o_custkey % 4 AS owner_id, 'k' || o_custkey AS key FROM orders WHERE o_custkey < 20),
+                     CASE WHEN doc_id % 5 = 0 THEN 'x' WHEN doc_id % 2 = 0 THEN sha256(text) ELSE sha256('new' || doc_id) END AS h, strlen(text) AS size, 'k' || doc_id AS key FROM documents),
+        s AS (SELECT DISTINCT o_custkey % 4 AS owner_id, 'k' || o_custkey AS key FROM orders WHERE o_orderstatus = 'P'),
         live AS (SELECT * FROM e WHERE NOT deleted)
         SELECT doc_id AS request_id, CASE WHEN h = 'x' OR size = 0 THEN 'invalid'
                WHEN EXISTS (SELECT 1 FROM s WHERE s.owner_id = r.owner_id AND s.key = r.key) THEN 'replay'
@@ -112,9 +113,9 @@ def upload_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(doc % 3 == 0, F.col("_own")).otherwise(F.concat(F.lit("new-"), doc)).alias("name"),
         F.when(doc % 5 == 0, "x").when(doc % 2 == 0, F.sha2("text", 256)).otherwise(F.sha2(F.concat(F.lit("new"), doc), 256)).alias("sha256"),
         F.octet_length("text").alias("size_bytes"),
-        F.concat(F.lit("k"), F.pmod(doc, F.lit(100))).alias("idempotency_key"),
+        F.concat(F.lit("k"), doc).alias("idempotency_key"),
     )
-    earlier = table(spark, sf_dir, "orders").filter("o_custkey < 20").select(F.pmod("o_custkey", F.lit(4)).alias("owner_id"), F.concat(F.lit("k"), "o_custkey").alias("idempotency_key"))
+    earlier = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.pmod("o_custkey", F.lit(4)).alias("owner_id"), F.concat(F.lit("k"), "o_custkey").alias("idempotency_key"))
     return op.decisions(requests, earlier, files)
 
 

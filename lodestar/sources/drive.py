@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OWNERS = 4
-#: Documents point at the first names of ``part``; a fixed number, whatever the tables' size.
-NAMES = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +19,12 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logical files, one per document, with name, folder, owner, MIME type and deletion mark."""
+    """Logical files, one per document, with name (after the part of the same number), folder, owner, MIME type and deletion mark."""
     docs = table(spark, sf_dir, "documents")
-    names = table(spark, sf_dir, "part").filter(F.col("p_partkey") < NAMES).select("p_partkey", "p_name")
+    names = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     kinds = F.array(*map(F.lit, ("text/plain", "text/markdown; charset=utf-8", "application/json", "text/html")))
     name = F.lower(F.concat(F.coalesce("p_name", F.lit("file")), F.lit("-"), "doc_id", F.lit(".txt")))
-    return docs.join(names, F.pmod("doc_id", F.lit(NAMES)) == F.col("p_partkey"), "left").select(
+    return docs.join(names, F.col("doc_id") == F.col("p_partkey"), "left").select(
         F.col("doc_id").alias("file_id"),
         F.pmod("doc_id", F.lit(OWNERS)).alias("owner_id"),
         F.col("source").alias("folder_id"),
@@ -42,7 +40,7 @@ ENTRIES_SQL = f"""
     SELECT doc_id AS file_id, doc_id % {OWNERS} AS owner_id, source AS folder_id, sha256(text) AS object_id,
            lower(coalesce(p_name, 'file') || '-' || doc_id || '.txt') AS name, strlen(coalesce(text, ''))::BIGINT AS size_bytes,
            ['text/plain', 'text/markdown; charset=utf-8', 'application/json', 'text/html'][doc_id % 4 + 1] AS mime_type, doc_id % 23 = 0 AS deleted
-    FROM documents LEFT JOIN part ON doc_id % {NAMES} = p_partkey AND p_partkey < {NAMES}"""
+    FROM documents LEFT JOIN part ON doc_id = p_partkey"""
 
 
 def document_status(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import glob
 import io
+import json
 import os
 import zipfile
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import keys, text, vectors
-from lodestar.operators import documents, rag, search, tree
+from lodestar.operators import documents, objects, rag, search, tree
 from lodestar.plans import registry
 from lodestar.sources import content, schemas
 from lodestar.streaming import events
@@ -114,6 +115,8 @@ def test_limits():
         search.SearchInput("x", "other").checked()
     with pytest.raises(search.InvalidInput):
         rag.checked_question(" ")
+    with pytest.raises(search.InvalidInput):
+        rag.evidence(None, tuple(range(51)))
     assert [search.SearchInput("x", limit=n).checked().limit for n in (0, 7, 500)] == [20, 7, 100]
 
 
@@ -141,6 +144,35 @@ def test_tree(spark):
     assert got == {("a", "c"): "cycle", ("c", "a"): "ok", ("a", "a"): "cycle", ("a", "gone"): "not_found"}
 
 
+def test_scope(spark):
+    paths = tree.folder_paths(spark.createDataFrame([("r", None), ("a", "r"), ("b", "a")], "folder_id string, parent_id string"))
+    files = spark.createDataFrame([(1, "r"), (2, "a"), (3, "b"), (4, "gone"), (5, None)], "file_id long, folder_id string")
+    inside = lambda *args: sorted(r.file_id for r in tree.scoped(files, paths, *args).collect())
+    assert [inside("r"), inside("a"), inside("a", False), inside("x")] == [[1, 2, 3], [2, 3], [2], []]
+
+
+def test_hits_as_json(spark):
+    hits = spark.createDataFrame([(7, "n", 0.5, 1, [("7:0", 'say "x"')])], "file_id long, name string, score double, place int, citations array<struct<id:string,excerpt:string>>")
+    assert json.loads(search.as_json(hits).first().value) == {"file_id": 7, "name": "n", "score": 0.5, "citations": [{"id": "7:0", "excerpt": 'say "x"'}]}
+
+
+def test_chunks_are_replaced(spark, tmp_path):
+    at = str(tmp_path / "chunks")
+    rows = lambda *given: spark.createDataFrame(given, "object_id string, ordinal int, content string")
+    documents.replace_chunks(rows(("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z"), ("c", 0, "w")), at, 2)
+    for _ in range(2):  # a rerun changes nothing
+        documents.replace_chunks(rows(("a", 0, "new"), ("d", 0, "v")), at, 2)
+        got = {tuple(r) for r in spark.read.parquet(at).select("object_id", "ordinal", "content").collect()}
+        assert got == {("a", 0, "new"), ("b", 0, "z"), ("c", 0, "w"), ("d", 0, "v")}
+
+
+def test_deletes(spark):
+    files = spark.createDataFrame([(1, "o", 5, 0, False), (2, "o", 5, 1, False), (3, "p", 7, 0, False), (4, None, 0, 0, False), (5, "q", 1, 0, True)], "file_id long, object_id string, size_bytes long, version long, deleted boolean")
+    commands = spark.createDataFrame([(10, 1, 0), (11, 1, 0), (12, 3, 0), (13, 2, 0), (14, 4, 0), (15, 5, 0)], "command_id long, file_id long, expected_version long")
+    got = {r.command_id: (r.verdict, r.released_bytes, r.gc_requested) for r in objects.deleted_files(files, commands).collect()}
+    assert got == {10: ("applied", 5, False), 11: ("conflict", 0, False), 12: ("applied", 7, True), 13: ("conflict", 0, False), 14: ("applied", 0, False), 15: ("not_found", 0, False)}
+
+
 def test_content(spark):
     document = io.BytesIO()
     with zipfile.ZipFile(document, "w") as z:
