@@ -123,19 +123,25 @@ def cover_density(chunks: DataFrame, query: str, keys: tuple[str, ...] = ("objec
 def fulltext_candidates(entries: DataFrame, chunks: DataFrame, wanted: SearchInput) -> DataFrame:
     """Best chunks by cover density, one row per permitted file and chunk; ``chunks`` are those of indexed documents."""
     wanted = wanted.checked()
-    hits = permitted(entries, wanted).select("file_id", "name", "object_id").join(cover_density(chunks, wanted.query), "object_id")
-    return _best(hits, wanted)
+    files, mine = _scope(entries, chunks, wanted)
+    return _best(files.join(cover_density(mine, wanted.query), "object_id"), wanted)
 
 
 def semantic_candidates(entries: DataFrame, chunks: DataFrame, wanted: SearchInput) -> DataFrame:
     """Best chunks by cosine to the query's hashed embedding; an exact scan, and zero vectors match nothing."""
     wanted = wanted.checked()
     # three projections, so that no array is built twice; a filter before the limit would be pushed into them
-    coded = chunks.select("object_id", "ordinal", "content", hashed_buckets(F.col("content")).alias("_codes"))
+    files, mine = _scope(entries, chunks, wanted)
+    coded = mine.select("object_id", "ordinal", "content", hashed_buckets(F.col("content")).alias("_codes"))
     parts = coded.select("object_id", "ordinal", "content", bucket_dot(F.col("_codes"), query_vector(wanted.query)).alias("_dot"), bucket_norm(F.col("_codes")).alias("_norm"))
     scored = parts.withColumn("score", F.when(F.col("_norm") > 0, F.round(F.col("_dot") / F.col("_norm"), 9)))
-    hits = permitted(entries, wanted).select("file_id", "name", "object_id").join(scored, "object_id")
-    return _best(hits, wanted).filter("score IS NOT NULL")
+    return _best(files.join(scored, "object_id"), wanted).filter("score IS NOT NULL")
+
+
+def _scope(entries: DataFrame, chunks: DataFrame, wanted: SearchInput) -> tuple[DataFrame, DataFrame]:
+    """Permitted files and the chunks of their content: only those are scored. Both joins are on the object, so one shuffle serves them."""
+    files = permitted(entries, wanted).select("file_id", "name", "object_id")
+    return files, chunks.join(files.select("object_id"), "object_id", "left_semi")
 
 
 def _best(hits: DataFrame, wanted: SearchInput) -> DataFrame:
