@@ -11,6 +11,9 @@ Windows are walked only where they can match: every word pair of an item puts th
 at a place of the document, and as k edits change at most 2 k of the pairs and move the rest to at most
 k + 1 places, one place has enough of them in every passage. Windows that overlap leave a task
 as one region with all their keys.
+
+Characters of scripts written without blanks are words of their own. Items too short for keys are sought
+as they are: runs of a document's words that hash like an item are joined to it by their words.
 """
 
 from __future__ import annotations
@@ -35,12 +38,22 @@ REPEATS = WALKS * KEYS
 MAP_BITS = 23
 #: Words of the benchmark items that are sought at once; a larger benchmark takes several passes.
 BLOCK_WORDS = 2_000_000
-SHORTEST = 8
+#: Words of the shortest item that is sought with edits, and of the shortest that is sought at all, then word for word.
+SHORTEST, LEAST = 8, 4
 
 #: Bytes of words: digits, letters a-z and all of multi-byte characters but the signs below.
 _WORD = np.zeros(256, dtype=bool)
 _WORD[ord("0") : ord("9") + 1] = _WORD[ord("a") : ord("z") + 1] = _WORD[0x80:] = True
 
+#: First and last characters of scripts without blanks between words: Thai to Burmese, Khmer, radicals, kana and bopomofo, ideographs, half-width kana.
+_APART = ((0x0E00, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3040, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+#: Signs among wide characters: vertical and small forms, full-width and half-width signs, the middle dot and double hyphen of kana.
+_WIDE_SIGNS = ((0x30A0, 0x30A0), (0x30FB, 0x30FB), (0xFE10, 0xFE1F), (0xFE30, 0xFE6F), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65), (0xFFE0, 0xFFEF))
+
+
+def _among(codes: np.ndarray, ranges: tuple[tuple[int, int], ...]) -> np.ndarray:
+    return np.searchsorted([a for a, _ in ranges], codes, side="right") > np.searchsorted([b for _, b in ranges], codes)
+
 
 def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row offsets (rows + 1), first and last byte of each word, and the bytes of all lower-cased texts.
@@ -48,6 +61,15 @@ def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     Signs are all ASCII characters but letters and digits, U+0080 to U+00BF, the general
     punctuation U+2000 to U+207F and the CJK signs U+3000 to U+303F; words lie between them.
     """
+    return _spans(texts, False)
+
+
+def unit_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``word_spans``, but each character of scripts without blanks is a word, and wide signs are signs."""
+    return _spans(texts, True)
+
+
+def _spans(texts: pa.Array, apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     texts = pc.utf8_lower(pc.fill_null(texts, "")).cast(pa.large_string())
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(texts) else np.zeros(0, np.uint8)
@@ -59,6 +81,17 @@ def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
             at = at[np.isin(data[at + 1], second)]
         for k in range(length):
             word[at + k] = False
+    alone, length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if apart and len(at := np.flatnonzero(data >= 0xE0)):
+        length = np.where(data[at] >= 0xF0, 4, 3)
+        codes = data[at].astype(np.int64) & np.where(length == 4, 0x07, 0x0F)
+        for k in (1, 2, 3):
+            codes = np.where(k < length, codes << 6 | data[np.minimum(at + k, len(data) - 1)] & 0x3F, codes)
+        signs = _among(codes, _WIDE_SIGNS)
+        for k in range(4):
+            word[at[signs & (k < length)] + k] = False
+        chosen = _among(codes, _APART) & ~signs
+        alone, length = at[chosen], length[chosen]
     inner = ends[1:-1][ends[1:-1] < len(data)]
     opens = word.copy()
     opens[1:] &= ~word[:-1]
@@ -67,6 +100,10 @@ def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     closes[:-1] &= ~word[1:]
     last = inner[inner > 0] - 1
     closes[last] = word[last]
+    if len(alone):
+        before, after = alone[alone > 0] - 1, (alone + length)[alone + length < len(data)]
+        opens[alone] = closes[alone + length - 1] = True
+        opens[after], closes[before] = word[after], word[before]
     starts = np.flatnonzero(opens)
     return np.searchsorted(starts, ends), starts, np.flatnonzero(closes) + 1, data
 
@@ -105,6 +142,15 @@ def pairs(h: np.ndarray) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of each ``n`` neighbouring words."""
+    out = np.full(max(0, len(h) - n + 1), n, dtype=np.uint64)
+    for k in range(n):
+        out = (out ^ h[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 def window_length(n: int) -> int:
     """The window length of an item of ``n`` words, on a ladder of steps of a tenth: its first words, over nine tenths."""
     length = SHORTEST
@@ -162,18 +208,18 @@ def substring_distance(pattern: list, text: list) -> int:
     return best
 
 
-def _items(benchmark: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Normalised items of SHORTEST words or more: ``item``, ``norm``, ``n``."""
+def _items(benchmark: DataFrame, id_column: str, text: str, least: int) -> DataFrame:
+    """Normalised items of ``least`` words or more: ``item``, ``norm``, ``n``."""
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            offsets, starts, ends, data = word_spans(batch.column(text))
+            offsets, starts, ends, data = unit_spans(batch.column(text))
             joined = [normal_text(data, starts[i:j], ends[i:j]) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.array(joined, pa.string()), pa.array(np.diff(offsets))], names=["item", "norm", "n"])
 
     kind = benchmark.schema[id_column].dataType.simpleString()
     rows = benchmark.select(id_column, text).mapInArrow(normal, f"item {kind}, norm string, n long")
-    return written(rows.filter(F.col("n") >= SHORTEST), "items")
+    return written(rows.filter(F.col("n") >= max(1, least)), "items")
 
 
 def _item_keys(items: DataFrame) -> DataFrame:
@@ -183,7 +229,7 @@ def _item_keys(items: DataFrame) -> DataFrame:
         for batch in batches:
             out = {"norm": [], "n": [], "length": [], "keys": [], "pairs": []}
             for norm in batch.column("norm").to_pylist():
-                _, starts, ends, data = word_spans(pa.array([norm]))
+                _, starts, ends, data = unit_spans(pa.array([norm]))
                 h = hashed(starts, ends, data)
                 length = window_length(len(h))
                 out["norm"].append(norm)
@@ -264,22 +310,24 @@ def _in_map(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[place >> 6] >> (place & 63)) & 1 == 1
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, id_column: str = "doc_id", text: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, id_column: str = "doc_id", text: str = "text", item_column: str = "item_id", item_text: str = "text", least: int = LEAST) -> DataFrame:
     """Pairs of documents and benchmark items that they hold: id, item id, ``distance`` (in words) and ``n_words`` of the item.
 
     A document holds an item if some part of it is at most ``rate`` times the item's words away, by
-    insertions, deletions and substitutions of words; case and signs don't count. Items of
-    fewer than eight words are too short to tell and match nothing; null and blank texts neither.
+    insertions, deletions and substitutions of words; case and signs don't count, and each character
+    of scripts without blanks is a word. Items of fewer than eight words are held only without
+    edits. Items of fewer than ``least`` words are phrases of any text and match nothing; null and blank texts neither.
     Equal items are sought once and all reported. Documents of one id count as one.
     Only windows with a benchmark's key leave a task: their keys and words, not the texts. The
     pairs of BLOCK_WORDS words of the benchmark go to every task; a larger benchmark is
     sought block by block.
     """
-    items = _items(benchmark, item_column, item_text)
-    indexed = written(_item_keys(items), "item-keys")
+    items = _items(benchmark, item_column, item_text, least)
+    indexed = written(_item_keys(items.filter(F.col("n") >= SHORTEST)), "item-keys")
     blocks = -(-(indexed.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS)
     block = F.pmod(F.xxhash64("norm"), F.lit(max(1, blocks)))
     sure = [_block_matches(docs, indexed.filter(block == k), rate, id_column, text) for k in range(max(1, blocks))]
+    sure += _exact_matches(docs, items.filter(F.col("n") < SHORTEST).select("norm", "n").distinct(), id_column, text)
     best = reduce(DataFrame.unionByName, sure).groupBy(id_column, "norm").agg(F.min("distance").alias("distance"))
     return best.join(items, "norm").select(id_column, F.col("item").alias(item_column), "distance", F.col("n").alias("n_words"))
 
@@ -293,7 +341,7 @@ def _block_matches(docs: DataFrame, indexed: DataFrame, rate: float, id_column:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            offsets, starts, ends, data = word_spans(batch.column(text))
+            offsets, starts, ends, data = unit_spans(batch.column(text))
             if len(starts) < 2 or beginnings is None:
                 continue
             h = hashed(starts, ends, data)
@@ -340,7 +388,46 @@ def _block_matches(docs: DataFrame, indexed: DataFrame, rate: float, id_column:
     return around.select(id_column, "around").distinct().join(best, "around").select(id_column, "norm", "distance")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def _exact_matches(docs: DataFrame, short: DataFrame, id_column: str, text: str) -> list[DataFrame]:
+    """``id_column``, ``norm`` and ``distance`` 0 of runs of words that hash like a short item, block by block; the join on ``norm`` decides."""
+    blocks = -(-(short.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS)
+    block = F.pmod(F.xxhash64("norm"), F.lit(max(1, blocks)))
+    id_kind = docs.schema[id_column].dataType.simpleString()
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, starts, ends, data = unit_spans(batch.column("norm"))
+            h = hashed(starts, ends, data)
+            keys = [run_hashes(h[i:j], j - i)[0] for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("n"), pa.array(np.array(keys, np.uint64).view(np.int64), pa.int64())], names=["n", "h"])
+
+    def finder(rows: np.ndarray):
+        known = {n: np.unique(rows[rows[:, 0] == n, 1].view(np.uint64)) for n in np.unique(rows[:, 0]).tolist()}
+
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, text):
+                offsets, starts, ends, data = unit_spans(batch.column(text))
+                h = hashed(starts, ends, data)
+                for n, keys in known.items():
+                    runs = run_hashes(h, n)
+                    at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, runs), len(keys) - 1)] == runs)
+                    row = np.searchsorted(offsets, at, side="right") - 1
+                    at, row = at[at + n <= offsets[row + 1]], row[at + n <= offsets[row + 1]]
+                    _, once = np.unique(np.stack([row.astype(np.uint64), runs[at]], axis=1), axis=0, return_index=True)
+                    norms = [normal_text(data, starts[i : i + n], ends[i : i + n]) for i in at[once].tolist()]
+                    yield pa.RecordBatch.from_arrays([batch.column(id_column).take(pa.array(row[once])), pa.array(norms, pa.string()), pa.array(np.zeros(len(once), np.int64))], names=[id_column, "norm", "distance"])
+
+        return found
+
+    out = []
+    for k in range(blocks):
+        rows = short.filter(block == k).mapInArrow(keyed, "n long, h long").toPandas().to_numpy(dtype=np.int64)
+        if len(rows):
+            out.append(docs.select(id_column, text).mapInArrow(finder(rows), f"{id_column} {id_kind}, norm string, distance long"))
+    return out
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, id_column: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """``docs`` without those that hold a benchmark item. Rows without an id are matched as one document: all go or stay."""
-    matched = benchmark_matches(docs, benchmark, rate, id_column, text).select(F.col(id_column).alias("_hit")).distinct()
+    matched = benchmark_matches(docs, benchmark, rate, id_column, text, least=least).select(F.col(id_column).alias("_hit")).distinct()
     return docs.join(matched, docs[id_column].eqNullSafe(matched["_hit"]), "left_anti")

@@ -104,3 +104,36 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 6]
     assert dc.decontaminated(docs, bench.limit(0)).count() == len(rows)
     assert dc.benchmark_matches(docs.limit(0), bench).count() == 0
+
+
+def units(text):
+    _, starts, ends, data = dc.unit_spans(pa.array([text]))
+    return [bytes(data[a:b]).decode() for a, b in zip(starts, ends, strict=True)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("aB9é. -“。，？・＝ß\n中かー\U00020000\U0001f600한ก", max_size=12), max_size=6))
+def test_units(texts):
+    offsets, starts, ends, data = dc.unit_spans(pa.array(texts, pa.string()))
+    got = [[bytes(data[a:b]).decode() for a, b in zip(starts[i:j], ends[i:j], strict=True)] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+    assert got == [re.findall("[中かー\U00020000ก]|[ab9éß\U0001f600한]+", t.lower()) for t in texts]
+
+
+def test_short_items_are_held_word_for_word(spark):
+    items = [(1, "Who wrote the Odyssey?"), (2, "the red fox jumps over dogs"), (3, "one two three"), (4, "wrote the odyssey who")]
+    rows = [(1, "Quiz: who wrote -- the ODYSSEY, and when"), (1, "who wrote the odyssey"), (2, "the red fox leaps over dogs"), (3, "the red fox jumps over dogs"), (4, "who wrote the"), (5, "odyssey"), (None, "who wrote the odyssey"), (6, "one two three"), (7, None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda **args: {tuple(r) for r in dc.benchmark_matches(docs, bench, **args).collect()}
+    assert found() == {(1, 1, 0, 4), (None, 1, 0, 4), (3, 2, 0, 6)}
+    assert found(least=1) == found() | {(6, 3, 0, 3)}
+    assert sorted(r.doc_id for r in dc.decontaminated(docs, bench).collect()) == [2, 4, 5, 6, 7]
+
+
+def test_items_without_blanks(spark):
+    rng = random.Random(5)
+    text = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    items = [(1, text(300)), (2, text(20) + "，" + text(20) + "？"), (3, "日本の首都"), (4, "เมืองหลวงของประเทศไทย")]
+    edited = items[1][1].replace("，", "").replace(items[1][1][7], "x").replace(items[1][1][30], "")
+    docs = [(1, "前" * 30 + items[0][1] + "後"), (2, text(50) + edited + text(50)), (3, "質問：日本の首都はどこ"), (4, "ถาม" + items[3][1]), (5, text(400))]
+    got = dc.benchmark_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {tuple(r) for r in got} == {(1, 1, 0, 300), (2, 2, 2, 40), (3, 3, 0, 5), (4, 4, 0, len(items[3][1]))}
