@@ -3,7 +3,8 @@
 Terms are weighted by the template collection (a word of no template has the highest weight), so
 a file is scored where it lies, in one pass over the texts. A segment that shares none of a
 template's anchors, its heaviest terms, can't reach the threshold by the Cauchy-Schwarz
-inequality; only segments with an anchor are scored, which loses nothing.
+inequality; only segments with an anchor are scored, which loses nothing. Inside lines and paragraphs
+sentences and windows as long as a template are scored too, as a notice may share its line with other words.
 
 Files without a licence of their own take that of the nearest directory above them that has a
 licence file with one: distinct directories are joined to the licensed ones by their path prefixes.
@@ -49,6 +50,9 @@ TEMPLATES = (
 MOST_TEMPLATES, MOST_TERMS = 2_000, 200_000
 #: Base names of licence files: one of these words, then nothing, an extension or a suffix.
 LICENSE_FILE = r"^(LICEN[CS]E|COPYING|COPYRIGHT|NOTICE|UNLICENSE)([.-].*)?$"
+#: Cosine of a window inside a paragraph: at 0.6 two of three words would do ("all rights of").
+WINDOW_LEAST = 0.8
+SENTENCE = re.compile(r"(?<=[.!?;:])\s+")
 TERM = re.compile(r"[^\W_]+")
 
 
@@ -70,9 +74,11 @@ class TemplateIndex:
         self.idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in frequency.items()}
         self.postings: dict[str, list[tuple[int, float]]] = {}
         self.anchors: set[str] = set()
+        self.sizes, self.vectors = [c.total() for _, c in counts], []
         for k, (_, c) in enumerate(counts):
             weights = {t: tf * self.idf[t] for t, tf in c.items()}
             norm = math.sqrt(sum(w * w for w in weights.values()))
+            self.vectors.append({t: w / norm for t, w in weights.items()})
             rest = 1.0
             for t, w in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
                 self.postings.setdefault(t, []).append((k, w / norm))
@@ -85,6 +91,48 @@ class TemplateIndex:
         """Finds texts that may hold an anchor; like any RE2 pattern, in linear time."""
         return "(?i)(" + "|".join(map(re.escape, sorted(self.anchors))) + ")" if self.anchors else r"[^\s\S]"
 
+    def likely(self, present: set[str], least: float) -> list[int]:
+        """Templates that share two terms with these and enough weight for a cosine of ``least``."""
+        shared: dict[int, list[float]] = {}
+        for t in present & self.idf.keys():
+            for k, v in self.postings[t]:
+                shared.setdefault(k, []).append(v * v)
+        return [k for k, x in shared.items() if len(x) >= min(2, len(self.vectors[k])) and sum(x) >= least * least * 0.999]
+
+    def windows(self, segment: list[str], k: int, least: float) -> tuple[float, str] | None:
+        """Highest cosine of a template with the runs of as many terms of a segment, if it reaches ``least``."""
+        n, vector, best = self.sizes[k], self.vectors[k], 0.0
+        weight = [self.idf.get(t, self.unknown) for t in segment]
+        counts: Counter[str] = Counter()
+        norm = dot = 0.0
+        for i, t in enumerate(segment):
+            norm += (2 * counts[t] + 1) * weight[i] ** 2
+            dot += weight[i] * vector.get(t, 0.0)
+            counts[t] += 1
+            if i >= n:
+                gone = segment[i - n]
+                counts[gone] -= 1
+                norm -= (2 * counts[gone] + 1) * weight[i - n] ** 2
+                dot -= weight[i - n] * vector.get(gone, 0.0)
+            if i >= n - 1:
+                best = max(best, dot / math.sqrt(norm))
+        return (round(best, 9), self.names[k]) if round(best, 9) >= least else None
+
+    def inside(self, text: str) -> list[tuple[float, str]]:
+        """Sentences that share two terms with a template, by the threshold, and windows inside paragraphs, by WINDOW_LEAST or the threshold if it is higher."""
+        bar, hits = max(self.least, WINDOW_LEAST), []
+        if not self.likely(set(terms(text)), self.least):
+            return hits
+        for paragraph in re.split(r"\n[ \t\r]*\n", text):
+            segment = terms(paragraph)
+            if not self.likely(set(segment), self.least):
+                continue
+            for sentence in (x for line in paragraph.split("\n") for x in SENTENCE.split(line)):
+                if (found := self.best(sentence)) and any(self.names[k] == found[1] for k in self.likely(set(terms(sentence)), self.least)):
+                    hits.append(found)
+            hits += [x for k in self.likely(set(segment), bar) if (x := self.windows(segment, k, bar))]
+        return hits
+
     def best(self, segment: str) -> tuple[float, str] | None:
         """Highest cosine (to nine places) of a segment with a template and the first name that has it, if it reaches the threshold."""
         if segment in self._seen:
@@ -106,10 +154,11 @@ class TemplateIndex:
         return found
 
     def scan(self, text: str, whole: bool) -> tuple[float, str] | None:
-        """The best of a text's lines and paragraphs, and of the whole text of a licence file."""
+        """The best of a text's lines and paragraphs, of what stands inside them, and of the whole text of a licence file."""
         hits = [self.best(x) for x in text.split("\n")]
         hits += [self.best(x) for x in re.split(r"\n[ \t\r]*\n", text) if "\n" in x]
         hits.append(self.best(text) if whole else None)
+        hits += self.inside(text)
         return min((x for x in hits if x), key=lambda x: (-x[0], x[1]), default=None)
 
 

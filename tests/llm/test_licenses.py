@@ -58,3 +58,29 @@ def test_tree_and_odd_rows(spark):
     ]
     assert got == sorted(want, key=str)
     assert licenses.license_scan(files.limit(0)).count() == 0
+
+
+def test_notices_that_share_their_line():
+    index = licenses.TemplateIndex(list(licenses.TEMPLATES), 0.6)
+    prose = " ".join(f"word{i}" for i in range(40))
+    for name, notice in licenses.TEMPLATES:
+        assert index.scan(f"{prose} {notice[:-1]} {prose}", False) == (1.0, name)
+        assert index.scan(f"{prose}\n# {notice.replace(' ', chr(10), 3)} {prose}", False) == (1.0, name)
+    assert index.scan("# Copyright 2019 The Foo Authors. All rights reserved.", False) == (1.0, "Proprietary")
+    assert index.scan(f"{prose}. MIT License. {prose}", False)[1] == "MIT"
+    assert index.scan(f"Er kam mit. Mit! {prose} all rights of {prose}, released under the new license {prose}", False) is None
+
+
+def test_windows_equal_brute_force():
+    import random
+
+    index = licenses.TemplateIndex(list(licenses.TEMPLATES), 0.6)
+    words = "licensed under the apache license version 2 0 all rights reserved mit released work a".split()
+    rng = random.Random(4)
+    for _ in range(40):
+        segment = rng.choices(words, k=rng.randint(3, 30))
+        for k, name in enumerate(index.names):
+            n = index.sizes[k]
+            want = max((brute(" ".join(segment[i : i + n]), licenses.TEMPLATES)[name] for i in range(len(segment) - n + 1)), default=0.0)
+            got = index.windows(segment, k, 0.0)
+            assert math.isclose(got[0], want, abs_tol=1e-8)
