@@ -8,20 +8,26 @@ from pyspark.sql import functions as F
 from lodestar.functions.checkpoints import checkpointed
 
 
-def folder_paths(folders: DataFrame, most_depth: int = 100) -> DataFrame:
+def folder_paths(folders: DataFrame, most_depth: int | None = None) -> DataFrame:
     """``folder_id``, ``depth`` (0 for roots) and ``path``, the ids from the root down to the folder.
 
     A level is one join of the frontier with the folders; rounds are as many as the tree is deep, and
-    each ends in a checkpoint. Folders on a cycle or below a missing parent aren't reached.
+    each ends in a checkpoint. Folders on a cycle or below a missing parent aren't reached. A tree deeper than
+    ``most_depth`` raises an error; without it the depth has no limit, but an id on two rows that is its own ancestor, which no
+    valid table holds, would never end and raises an error too.
     """
     edges = folders.select("folder_id", "parent_id")
     frontier = edges.filter("parent_id IS NULL").select("folder_id", F.array("folder_id").alias("path"))
     found, depth = frontier, 0
-    while depth < most_depth:
+    while True:
         step = edges.join(frontier.select(F.col("folder_id").alias("parent_id"), "path"), "parent_id")
         frontier = checkpointed(step.select("folder_id", F.array_append("path", F.col("folder_id")).alias("path")))
         if frontier.isEmpty():
             break
+        if most_depth is not None and depth >= most_depth:
+            raise ValueError(f"folders lie deeper than {most_depth}")
+        if not frontier.filter(F.size(F.array_distinct("path")) < F.size("path")).isEmpty():
+            raise ValueError("a folder is its own ancestor")
         found, depth = found.unionByName(frontier), depth + 1
     return found.select("folder_id", (F.size("path") - 1).alias("depth"), "path")
 

@@ -208,3 +208,15 @@ def test_schemas():
     assert len(schemas.TABLES) == 15
     assert "trace_context" in schemas.schema("outbox_events").fieldNames()
     assert "trace_context" not in schemas.schema("outbox_events", 7).fieldNames()
+
+
+def test_deep_trees(spark):
+    rows = [("0", None)] + [(str(i), str(i - 1)) for i in range(1, 104)]
+    folders = spark.createDataFrame(rows, "folder_id string, parent_id string").coalesce(1)
+    paths = tree.folder_paths(folders)
+    assert sorted(r.depth for r in paths.select("depth").collect()) == list(range(104))
+    with pytest.raises(ValueError):
+        tree.folder_paths(folders, most_depth=3)
+    assert tree.folder_paths(folders.filter("int(folder_id) <= 3"), most_depth=3).count() == 4
+    with pytest.raises(ValueError):
+        tree.folder_paths(spark.createDataFrame([("r", None), ("a", "r"), ("r", "a")], "folder_id string, parent_id string"))
