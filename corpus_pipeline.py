@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash group."""
+    """The document with the smallest id of each group of near duplicates: five-word shingles, a similarity of 0.8 or more."""
     return simhash.simhash_dedup(docs)
 
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes that a Python task works on at a time; one longer text is a piece of its own.
 SLICE_BYTES = 8 << 20
@@ -36,9 +37,39 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh place in the shared folder, as a URI."""
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    return at if "://" in at or at.startswith("file:") else f"file://{at}"
+    """A fresh place in the shared folder, as a URI; a folder without a scheme lies in the default file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    at = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return at if "://" in at else at.replace("file:/", "file:///", 1)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for added columns that no column of ``df`` has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
+def row_hash(df: DataFrame, seed: int = 0) -> Column:
+    """A hash of whole rows; columns that hold maps count as their JSON text."""
+    parts = [F.to_json(F.struct(_named(f.name))) if _has_map(f.dataType) else _named(f.name) for f in df.schema.fields]
+    return F.xxhash64(F.lit(seed), *parts)
+
+
+def _named(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from lodestar.llm import toxicity
 from lodestar.llm.common import table, written
 from tests.llm.helpers import SMALL
 from tests.llm.test_decontamination import brute
-from tests.llm.test_simhash import brute_groups, brute_print
+from tests.llm.test_simhash import brute_near
 
 
 def test_stages_equal_brute_force(spark):
@@ -30,8 +30,9 @@ def test_stages_equal_brute_force(spark):
     assert kept[0] == {r.doc_id for r, s in zip(before, scores, strict=True) if s < 0.5}
 
     before = states[1][1]
-    groups = brute_groups({r.doc_id: brute_print(r.text) for r in before})
-    assert kept[1] == set(groups.values()) and len(states[1][2]) == len(kept[1])
+    ordered = sorted(before, key=lambda r: r.doc_id)
+    groups = brute_near([r.text for r in ordered])
+    assert kept[1] == {ordered[g].doc_id for g in set(groups)} and len(states[1][2]) == len(kept[1])
 
     before = states[2][1]
     items = [tuple(r) for r in table(spark, SMALL, "benchmark").collect()]

@@ -91,4 +91,110 @@ def test_odd_rows(spark):
     assert simhash.simhash_groups(docs.limit(0)).count() == 0
     kept = simhash.simhash_dedup(docs)
     assert kept.columns == docs.columns
-    assert sorted([r.doc_id for r in kept.collect()], key=str) == sorted([3, 1, None, None, 4], key=str)
+    # "word word ..." of any length from five on has one shingle of five words, and blank texts have none
+    assert sorted([r.doc_id for r in kept.collect()], key=str) == sorted([3, 1, None, 4], key=str)
+    assert simhash.simhash_dedup(docs.limit(0)).count() == 0
+
+
+def shingle_sets(text):
+    terms = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(terms[i : i + 5]) for i in range(max(1, len(terms) - 4))} if terms else set()
+
+
+def brute_near(texts):
+    """Groups of texts by links of near duplicates, each pair compared: of each text the smallest number in its group."""
+    import pyarrow as pa
+
+    prints = simhash.pair_prints(pa.array(texts, pa.string()))
+    sets, root = [shingle_sets(t) for t in texts], list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        close = np.flatnonzero((np.bitwise_count(prints[:i] ^ prints[i]) <= 4).any(axis=1))
+        for j in close.tolist():
+            common = len(sets[i] & sets[j])
+            if common >= 0.8 * len(sets[i] | sets[j]) and (a := top(i)) != (b := top(j)):
+                root[max(a, b)] = min(a, b)
+    return [top(i) for i in range(len(texts))]
+
+
+def test_vectorised_hash():
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 5000, dtype=np.uint8)
+    starts, lengths = rng.integers(0, 4800, 4000), rng.integers(0, 200, 4000)
+    got = simhash.xxh64(data, starts, lengths, 7)
+    assert got.tolist() == [xxhash.xxh64_intdigest(data[i : i + n].tobytes(), 7) for i, n in zip(starts, lengths, strict=True)]
+
+
+@pytest.mark.parametrize("block_bytes", [8 << 20, 3000])
+def test_near_groups_equal_brute_force(spark, block_bytes):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = ["", " ", "one", "One", "one two three four five six"]
+    for n in (9, 40, 120, 300):
+        base = [rng.choice(vocabulary) for _ in range(n)]
+        for _ in range(25):  # near copies, some far from each other but tied by those between them
+            edited = list(base)
+            for _ in range(rng.randint(0, max(1, n // 30))):
+                edited[rng.randrange(n)] = rng.choice(vocabulary)
+            texts.append(" ".join(edited))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = simhash.near_groups(frame, block_bytes=block_bytes).collect()
+    least = {r.least: r.root for r in groups}
+    first = {}
+    for i in sorted(least):
+        first.setdefault(least[i], i)
+    named = {i: first[r] for i, r in least.items()}
+    ids = {t: i for i, t in reversed(list(enumerate(texts)))}
+    want = brute_near(texts)
+    assert {i: named[i] for i in named} == {i: ids[texts[want[i]]] for i in named}
+
+
+def test_recall_of_near_copies(spark):
+    """Texts that share 0.8 to 0.85 of their shingles are linked in over nine of ten cases."""
+    import pyarrow as pa
+
+    rng, found, tried = random.Random(9), 0, 0
+    vocabulary = [f"w{int(rng.paretovariate(0.9))}" for _ in range(5000)]
+    while tried < 300:
+        n = rng.randint(60, 400)
+        base = [rng.choice(vocabulary) for _ in range(n)]
+        edited = list(base)
+        for _ in range(rng.randint(1, n // 20)):
+            edited[rng.randrange(n)] = rng.choice(vocabulary)
+        a, b = shingle_sets(" ".join(base)), shingle_sets(" ".join(edited))
+        if 0.8 <= len(a & b) / len(a | b) < 0.85:
+            tried += 1
+            p = simhash.pair_prints(pa.array([" ".join(base), " ".join(edited)]))
+            found += int(np.bitwise_count(p[0] ^ p[1]).min() <= 4)
+    assert found / tried >= 0.9
+
+
+def test_repeated_ids_and_odd_columns(spark):
+    rows = [(1, "p q r s t", 1), (2, "p q r s t", 2), (2, "other text here now again", 3), (1, "zz yy xx ww vv", 4), (1, "p q r s t", 5), (None, "p q r s t", 6), (None, "left alone here by all", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _order long").selectExpr("*", "map('a', _order) AS m", "doc_id AS digest")
+    kept = simhash.simhash_dedup(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("1", "p q r s t"), ("2", "other text here now again"), ("1", "zz yy xx ww vv"), ("None", "left alone here by all")])
+    assert len({tuple(map(str, r)) for r in simhash.simhash_dedup(docs).collect()} ^ {tuple(map(str, r)) for r in got}) == 0
+
+
+@pytest.mark.parametrize("shared", [2, 3, 4])
+def test_any_number_of_equal_blocks(spark, shared):
+    rng = random.Random(2)
+    rows = {}
+    for i in range(60):
+        c = rng.getrandbits(64)
+        for j in range(4):
+            rows[4 * i + j] = c
+            for b in rng.sample(range(64), rng.randint(1, 5)):
+                rows[4 * i + j] ^= 1 << b
+    frame = spark.createDataFrame([(i, int(np.uint64(p).astype(np.int64))) for i, p in rows.items()], "id long, fp long")
+    roots = {r.node: r.root for r in connected_components(simhash.links(frame, shared=shared)).collect()}
+    assert {i: roots.get(i, i) for i in rows} == brute_groups(rows)
+    assert simhash.shared_blocks(200_000, 4) == 2 < simhash.shared_blocks(2 * 10**10, 4)
