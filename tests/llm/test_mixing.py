@@ -72,3 +72,27 @@ def test_pivotal_keeps_expectation():
         assert ((out > 0) & (out < 1)).sum() <= 1 and out @ size == pytest.approx(x @ size)
         mean += out / 4000
     assert np.abs(mean - x).max() < 0.03
+
+
+def test_hot_rows_and_odd_columns(spark):
+    rows = [(7, "hot", "a b c", 1)] * 400 + [(7, "hot", "a b c", 2)] * 3 + [(i, "cold", "w " * 5, i) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, _key long").selectExpr("*", "map('k', _key) AS m", "1 AS _copy", "2 AS rank")
+    got = mix_copies(docs, group_rows=20, fan=4)
+    assert got.count() == len(rows)
+    targets = brute_targets({"hot": 403 * 3, "cold": 500})
+    for s, t in targets.items():
+        assert abs(got.filter(f"source = '{s}'").agg({"taken": "sum"}).first()[0] - t) <= 5
+    whole = mixed(docs)
+    assert whole.columns == docs.columns
+    assert {(r.doc_id, r._key, r.m["k"]) for r in whole.collect()} <= {(r[0], r[3], r[3]) for r in rows}
+    assert whole.count() == mix_copies(docs).agg({"copies": "sum"}).first()[0]
+
+
+def test_ranks_of_many_sources(spark):
+    from lodestar.llm.mixing import source_targets
+
+    sized = spark.range(300).selectExpr("concat('s', id) AS source", "id + 1 AS size").unionByName(spark.createDataFrame([(None, 5)], "source string, size long"))
+    got = sorted(source_targets(sized).collect(), key=lambda r: r.rank)
+    assert [r.source for r in got] == sorted(f"s{i}" for i in range(300)) + [None] and [r.rank for r in got] == list(range(301))
+    want = brute_targets({r.source: r.source_size for r in got})
+    assert all(r.target == pytest.approx(want[r.source]) for r in got)
