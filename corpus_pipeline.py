@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import decontamination, mixing, sharding, simhash, toxicity
-from lodestar.llm.common import table, written
+from lodestar.llm.common import free_names, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't reject; it learns from the labels of these documents."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.toxicity_scores(docs.withColumn("_own", F.struct(*docs.columns)), model)
-    return scored.filter("predicted = 0").select("_own.*")
+    score, verdict = free_names(docs, "score", "predicted")
+    return toxicity.toxicity_scores(docs, model, names=(score, verdict)).filter(F.col(verdict) == 0).drop(score, verdict)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

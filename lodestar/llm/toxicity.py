@@ -273,12 +273,12 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative")).filter("length(word) BETWEEN 2 AND 64")
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 16_000, max_terms: int = 4000, id_column: str = "doc_id", text: str = "text") -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 16_000, id_column: str = "doc_id", text: str = "text") -> ToxicityModel:
     """Learns the lexicon and the weights from at most ``max_train`` labelled documents.
 
     A word enters if its rate of toxic documents is over the base rate by more than chance
     among all words tried; a stem of 4 to 8 characters if that holds for it and three words or
-    more have it. At most ``max_terms`` of each reach the driver. Words of the sample that an
+    more have it. All terms that pass reach the driver; the sample bounds them. Words of the sample that an
     automaton finds near a term keep their own shrunk rate, unseen ones get that of the term's near words.
     A strength is how far a rate is over the base rate, on the way to 1.
     Without labels of both classes nothing is learned and every score is the prior's.
@@ -294,8 +294,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 16_000, max_terms
         tried = found.filter("positive >= 3").withColumn("gain", _surprise(F.col("positive"), F.col("negative"), base))
         least = math.log(max(1, tried.count())) + margin
         rate = (F.col("positive") + 0.5) / (F.col("positive") + F.col("negative") + 1)
-        best = tried.filter((F.col("gain") > least) & (rate > max(0.6, base))).orderBy(F.desc("gain"), "word").limit(max_terms)
-        return {r.word: (r.rate - base) / (1 - base) for r in best.select("word", rate.alias("rate")).collect()}
+        best = tried.filter((F.col("gain") > least) & (rate > max(0.6, base)))
+        return {r.word: (r.rate - base) / (1 - base) for r in sorted(best.select("word", rate.alias("rate")).collect())}
 
     cut = F.explode(F.transform(F.sequence(F.lit(4), F.lit(8)), lambda n: F.when(F.length("word") > n, F.substring(F.col("word"), F.lit(1), n))))
     stems = counts.filter("length(word) > 4").select(cut.alias("stem"), "positive", "negative").filter("stem IS NOT NULL")
@@ -338,22 +338,22 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 16_000, max_terms
     return model
 
 
-def toxicity_scores(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on). Map-only, over whole texts.
+def toxicity_scores(docs: DataFrame, model: ToxicityModel, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on), or columns of other ``names``. Map-only, over whole texts.
 
     Null and empty texts have no hits and get the score of the bias. Columns of the two
     added names are replaced.
     """
-    kept = docs.drop("score", "predicted")
-    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
+    kept = docs.drop(*names)
+    schema = T.StructType([*kept.schema.fields, T.StructField(names[0], T.DoubleType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, float] = {}
         for batch in slices(batches, text):
             score = model.scores(model.features(batch.column(text), seen))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, names[0]])
 
-    return kept.mapInArrow(scored, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return kept.mapInArrow(scored, schema).withColumn(names[1], (F.col(names[0]) >= 0.5).cast("int"))
 
 
 def held_out(id_column: str = "doc_id"):
