@@ -38,13 +38,17 @@ def url_keys(url: Column) -> Column:
 def list_intervals(entries: DataFrame) -> DataFrame:
     """Validity intervals of dated entries (``pattern``, ``effective``, ``action``: block, allow or remove).
 
+    A pattern names a host, or a host and a path: a folder with its slash at the end, or one page. Hosts are
+    compared in lower case and paths as they are; scheme, credentials, port, query and fragment of a pattern are dropped.
     An entry holds from ``effective`` until the next entry of its pattern; ``valid_to`` is null
     for the last. Of entries at the same time block comes before allow and allow before
     remove. Entries without pattern or time are void. Repeated entries are merged before
     anything is grouped by pattern.
     """
     rank = F.when(F.col("action") == "block", 2).when(F.col("action") == "allow", 1).otherwise(0)
-    moments = entries.filter("pattern IS NOT NULL AND effective IS NOT NULL").groupBy(F.lower("pattern").alias("pattern"), "effective").agg(F.max(rank).alias("_rank"))
+    host, path = _located(F.col("pattern"))
+    valid = entries.filter("pattern IS NOT NULL AND effective IS NOT NULL").withColumn("pattern", F.concat(host, path)).filter("pattern <> '' AND pattern NOT LIKE '/%'")
+    moments = valid.groupBy("pattern", "effective").agg(F.max(rank).alias("_rank"))
     following = F.lead("effective").over(Window.partitionBy("pattern").orderBy("effective"))
     held = moments.withColumn("valid_to", following).filter("_rank > 0")
     return held.select("pattern", F.col("effective").alias("valid_from"), "valid_to", F.when(F.col("_rank") == 2, "block").otherwise("allow").alias("action"))
@@ -92,7 +96,8 @@ def entries_of(pages: DataFrame) -> DataFrame:
 
     By hash, a third of the hosts is blocked at some day, half of these removed 40 days
     later and blocked again 60 days after that; a quarter of all has the folder ``/en/``
-    allowed from some day on; and the parent domain of a tenth is blocked late in the year.
+    allowed from some day on; and the parent domain of a tenth is blocked late in the year. A fifth is listed in
+    capitals, with scheme, port and a query, for its folder ``/de/``, and a seventh for a folder ``/EN/``, which isn't ``/en/``.
     """
     host, _ = _located(F.col("url"))
     hosts = pages.filter("url IS NOT NULL").select(host.alias("host")).distinct().filter("host <> ''").withColumn("k", _digits(F.col("host")))
@@ -106,6 +111,8 @@ def entries_of(pages: DataFrame) -> DataFrame:
         entry(F.col("k") % 6 == 0, F.col("host"), day + 100, "block"),
         entry(F.col("k") % 4 == 0, F.concat("host", F.lit("/en/")), day + 20, "allow"),
         entry(F.col("k") % 10 == 0, parent, F.lit(330), "block"),
+        entry(F.col("k") % 5 == 0, F.concat(F.lit("HTTPS://"), F.upper("host"), F.lit(":443/de/?from=list")), day + 5, "block"),
+        entry(F.col("k") % 7 == 0, F.concat("host", F.lit("/EN/")), day, "block"),
     )
     return hosts.select(F.explode(F.filter(rows, lambda e: e.isNotNull())).alias("e")).select("e.*")
 
@@ -121,7 +128,9 @@ WITH located AS (
        UNION ALL SELECT host, day + 40, 0 FROM hosts WHERE k % 6 = 0
        UNION ALL SELECT host, day + 100, 2 FROM hosts WHERE k % 6 = 0
        UNION ALL SELECT host || '/en/', day + 20, 1 FROM hosts WHERE k % 4 = 0
-       UNION ALL SELECT regexp_replace(host, '^[^.]*\.', ''), 330, 2 FROM hosts WHERE k % 10 = 0),
+       UNION ALL SELECT regexp_replace(host, '^[^.]*\.', ''), 330, 2 FROM hosts WHERE k % 10 = 0
+       UNION ALL SELECT host || '/de/', day + 5, 2 FROM hosts WHERE k % 5 = 0
+       UNION ALL SELECT host || '/EN/', day, 2 FROM hosts WHERE k % 7 = 0),
      moments AS (SELECT pattern, DATE '2024-01-01' + d::INT AS effective, max(rank) AS rank FROM entries GROUP BY ALL),
      spans AS (SELECT *, lead(effective) OVER (PARTITION BY pattern ORDER BY effective) AS valid_to FROM moments),
      hits AS (SELECT c.page_id, s.pattern, s.effective, s.rank FROM c JOIN spans s

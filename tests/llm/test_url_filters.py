@@ -41,3 +41,11 @@ def test_time(spark):
     assert url_filter(captures, entries).count() == len(rows)
     assert url_filter(captures, entries.limit(0)).filter("blocked").count() == 0
     assert url_filter(captures.limit(0), entries).count() == 0
+
+
+def test_paths_keep_their_case(spark):
+    d = date(2024, 1, 1)
+    entries = spark.createDataFrame([("a.com/News/", d, "block"), ("HTTP://u@B.com:80/x?q#f", d, "block"), ("/x/", d, "block"), ("", d, "block")], "pattern string, effective date, action string")
+    urls = ["http://A.com/News/x", "http://a.com/news/x", "https://b.com:8080/x?y", "https://b.com/X"]
+    captures = spark.createDataFrame([(i, u, d) for i, u in enumerate(urls)], "id int, url string, fetched_at date")
+    assert [r.id for r in url_filter(captures, entries).filter("blocked").orderBy("id").collect()] == [0, 2]
