@@ -35,7 +35,7 @@ BITS = 64
 COUNTED = 1 << 17
 #: Fingerprints of word pairs that the removal makes of a text. A pair of texts that share 0.8 of their
 #: five-word shingles is within 4 bits in one of them in over nine of ten cases (tests measure it).
-PRINTS = 12
+PRINTS = 10
 #: Bytes of shingles that one task compares with as many others.
 BLOCK_BYTES = 8 << 20
 
@@ -208,16 +208,17 @@ def shared_blocks(rows: int, radius: int, most: int = 128) -> int:
 
 
 def _keys(fp: Column, radius: int, shared: int) -> Column:
-    """The buckets of a fingerprint: for every choice of ``shared`` of ``radius + shared`` blocks its number and a hash of the bits."""
-    cut = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << w) - 1)) for a, w in _blocks(radius + shared)]
-    return F.array(*[F.struct(F.lit(k).alias("choice"), _bits(cut, some).alias("bits")) for k, some in enumerate(combinations(range(len(cut)), shared))])
-
+    """The buckets of a fingerprint: for every choice of ``shared`` of ``radius + shared`` blocks its number and the bits."""
+    blocks = _blocks(radius + shared)
+    cut = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << w) - 1)) for a, w in blocks]
+
+    def bits(some: tuple[int, ...]) -> Column:
+        out = cut[some[0]]
+        for i in some[1:]:
+            out = F.shiftleft(out, blocks[i][1]).bitwiseOR(cut[i])
+        return out
 
-def _bits(cut: list[Column], some: tuple[int, ...]) -> Column:
-    widths, out = [w for _, w in _blocks(len(cut))], F.lit(0).cast("long")
-    for i in some:
-        out = F.shiftleft(out, widths[i]).bitwiseOR(cut[i])
-    return out
+    return F.array(*[F.struct(F.lit(k).alias("choice"), bits(some).alias("bits")) for k, some in enumerate(combinations(range(len(cut)), shared))])
 
 
 class _Joined:
@@ -279,19 +280,34 @@ def _forest(run: np.ndarray, fp: np.ndarray, radius: int, refs: np.ndarray, tall
     return order[np.array(out_a, dtype=np.int64)], order[np.array(out_b, dtype=np.int64)]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Sorted rows in whole runs of equal ``columns``, with each row's run; the last run of a batch waits for the next one."""
+def _runs(batches: Iterator[pa.RecordBatch], columns: list[str], most: int | None = None) -> Iterator[tuple[pa.Table, np.ndarray | None]]:
+    """Sorted rows in whole runs of equal ``columns``, with each row's run; the last run of a batch waits for the next one.
+
+    A run that grows beyond ``most`` rows while it waits isn't gathered: its first row comes alone, without a number.
+    """
     held: list[pa.RecordBatch] = []
+    over = False
     for batch in batches:
-        held.append(batch)
         if not batch.num_rows:
             continue
+        if over:  # the rest of a long run goes by
+            part = pa.Table.from_batches([*held, batch])
+            cuts = np.flatnonzero(_changes(part, columns)) + 1
+            if not len(cuts):
+                continue
+            over, held = False, []
+            batch = batch.slice(int(cuts[0]) - 1)
+        held.append(batch)
         part = pa.Table.from_batches(held)
         cuts = np.flatnonzero(_changes(part, columns)) + 1
         if len(cuts):
             yield _numbered(part.slice(0, int(cuts[-1])), columns)
-            held = part.slice(int(cuts[-1])).combine_chunks().to_batches()
-    if any(b.num_rows for b in held):
+            part = part.slice(int(cuts[-1])).combine_chunks()
+            held = part.to_batches()
+        if most is not None and part.num_rows > most:
+            held, over = part.slice(0, 1).combine_chunks().to_batches(), True
+            yield pa.Table.from_batches(held), None
+    if held and not over:
         yield _numbered(pa.Table.from_batches(held), columns)
 
 
@@ -320,8 +336,8 @@ def links(prints: DataFrame, radius: int = 4, n_pivots: int = 16, bucket_rows: i
 
     ``prints`` has one row (id long, fp long) per distinct fingerprint, or (no int, id, fp) per
     distinct fingerprint of each of several kinds, which are compared apart. The edges are a
-    subset of all links with the same connected components. A bucket of more than
-    ``bucket_rows`` fingerprints is cut into blocks, and each pair of blocks is a task of its
+    subset of all links with the same connected components. Only fingerprints are dealt to the buckets, once; a bucket of
+    more than ``bucket_rows`` of them is set aside, dealt again in blocks, and each pair of blocks is a task of its
     own: memory stays bounded, and no pair is left out. ``shared`` blocks of bits are equal in a bucket; by
     default their number follows from the size of the table, and the links don't depend on it.
     """
@@ -329,20 +345,48 @@ def links(prints: DataFrame, radius: int = 4, n_pivots: int = 16, bucket_rows: i
         prints = prints.withColumn("no", F.lit(0))
     if shared is None:
         shared = shared_blocks(prints.groupBy("no").count().agg(F.max("count")).first()[0] or 0, radius)
-    keyed = prints.withColumn("k", F.explode(_keys(F.col("fp"), radius, shared))).select("no", "id", "fp", "k.choice", "k.bits")
-    bucket = ["no", "choice", "bits"]
-    sizes = keyed.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1")
-    dealt = _dealt(keyed.join(sizes, bucket), F.ceil(F.col("n") / F.lit(bucket_rows)).cast("int"), "fp").drop("n")
+    refs, bucket = pivots(n_pivots), ["kind", "bits"]
+    n_choices = comb(radius + shared, shared)
+    keyed = prints.withColumn("k", F.explode(_keys(F.col("fp"), radius, shared))).select((F.col("no") * n_choices + F.col("k.choice")).alias("kind"), "k.bits", "fp")
+    edge = "kind int, bits long, a long, b long"
+
+    def forest(part: pa.Table, run: np.ndarray) -> pa.RecordBatch:
+        fp = part.column("fp").to_numpy()
+        a, b = _forest(run, fp.view(np.uint64), radius, refs)
+        kinds = part.column("kind").to_numpy()[a]
+        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.nulls(len(a), pa.int64()), pa.array(fp[a]), pa.array(fp[b])], names=["kind", "bits", "a", "b"])
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, run in _runs(batches, bucket, bucket_rows):
+            if run is not None:
+                # most buckets hold one fingerprint; a bucket that came whole in one batch may still be long
+                sizes = np.bincount(run)
+                fits = (sizes[run] > 1) & (sizes[run] <= bucket_rows)
+                if fits.any():
+                    yield forest(part.filter(pa.array(fits)), run[fits])
+                part = part.take(pa.array(np.flatnonzero(np.diff(run, prepend=-1) & (sizes[run] > bucket_rows))))
+            if part.num_rows:
+                none = pa.nulls(part.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("kind").combine_chunks(), part.column("bits").combine_chunks(), none, none], names=["kind", "bits", "a", "b"])
+
     cell = [*bucket, "low", "high"]
-    refs = pivots(n_pivots)
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, run in _runs(batches, cell):
-            ids = part.column("id").to_numpy()
-            a, b = _forest(run, part.column("fp").to_numpy().view(np.uint64), radius, refs)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
-
-    return dealt.repartition(*cell).sortWithinPartitions(*cell, "fp").mapInArrow(found, "a long, b long")
+            yield forest(part, run)
+
+    first = written(keyed.repartition(*bucket).sortWithinPartitions(*bucket).mapInArrow(searched, edge), "bucket-links")
+    large = first.filter("a IS NULL").select(*bucket).distinct()
+    rest = keyed.join(large, bucket)
+    sizes = rest.groupBy(*bucket).agg(F.count("*").alias("n"))
+    dealt = _dealt(rest.join(sizes, bucket), F.ceil(F.col("n") / F.lit(bucket_rows)).cast("int"), "fp").drop("n")
+    second = dealt.repartition(*cell).sortWithinPartitions(*cell, "fp").mapInArrow(compared, edge)
+    found = first.filter("a IS NOT NULL")
+    if not large.isEmpty():
+        found = found.unionByName(second)
+    pairs = found.select(F.floor(F.col("kind") / n_choices).cast("int").alias("no"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    of = lambda end: prints.select("no", F.col("fp").alias(end), F.col("id").alias(f"id_{end}"))
+    return pairs.join(of("a"), ["no", "a"]).join(of("b"), ["no", "b"]).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
 def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
@@ -432,7 +476,7 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
             sets = [np.unique(x).tobytes() for x in np.split(found, np.cumsum(counts)[:-1])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.binary())], names=[*batch.schema.names[:-1], "shingles"])
 
-    members = nodes.join(roots, "node").select("digest", "least", "node", "root", *names)
+    members = written(nodes.join(roots, "node").select("digest", "least", "node", "root", *names), "members")
     once = body.join(members, (body["digest"] == members["digest"]) & body["least"].eqNullSafe(members["least"])).select("root", "node", *names, "text").dropDuplicates(["node"])
     kinds_ddl = ", ".join(f"{x} long" for x in names)
     sets = written(once.mapInArrow(shingled, f"root long, node long, {kinds_ddl}, shingles binary"), "shingles")
