@@ -31,6 +31,8 @@ QUOTED = regex.compile("\"[^\"]*+\"|“[^”]*+”|«[^»]*+»|„[^“”]*+[
 #: Fixed lists of the context score: words that report another's speech, and words that address someone.
 REPORTS = frozenset("said says quote quoted quotes called wrote term word cited dijo dice palabra dit mot cite sagte wort zitat".split())
 ADDRESS = frozenset("you your youre u tu tú vous du ihr dich eres".split())
+#: Key of a trie's node for the most edits that a term below it allows; no word holds it.
+BELOW = "+"
 #: Words before and after a hit that its context score reads.
 REACH = 8
 
@@ -59,57 +61,69 @@ class Lexicon:
 
     def __post_init__(self):
         self.trie: dict = {}
-        self.prefixes, self.suffixes, self.middles = set(), set(), set()
         for term in self.words:
-            node = self.trie
+            node, edits = self.trie, allowed_edits(term)
             for c in term:
+                node[BELOW] = max(node.get(BELOW, 0), edits)
                 node = node.setdefault(c, {})
-            node[""] = term
-            if allowed_edits(term):
-                self.prefixes.add(term[:2])
-                self.suffixes.add(term[-3:])
-            if allowed_edits(term) > 1:
-                self.middles.add(term[2:5])
+            node[BELOW], node[""] = max(node.get(BELOW, 0), edits), term
 
     def near(self, word: str) -> tuple[str, int] | None:
         """The nearest term within its allowed edits, smallest first among equals, and its distance.
 
         Bit i of ``states[e]`` says that i characters of the word are read with e
-        edits; the states move along the trie and a branch ends when none is left.
+        edits; the states move along the trie and a branch ends when none is left. A branch has states
+        for as many edits as a term below it allows.
         """
-        most, n = 2, len(word)
+        n = len(word)
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
         whole = (1 << (n + 1)) - 1
         best: tuple[int, str] | None = None
-        todo = [(self.trie, [((1 << (e + 1)) - 1) & whole for e in range(most + 1)])]
+        todo = [(self.trie, [((1 << (e + 1)) - 1) & whole for e in range(self.trie.get(BELOW, 0) + 1)])]
         while todo:
             node, states = todo.pop()
             for c, child in node.items():
                 if c == "":
-                    e = next((e for e in range(most + 1) if states[e] >> n & 1), None)
+                    e = next((e for e, s in enumerate(states) if s >> n & 1), None)
                     if e is not None and e <= allowed_edits(child) and (best is None or (e, child) < best):
                         best = (e, child)
                     continue
+                if c == BELOW:
+                    continue
                 mask = masks.get(c, 0)
-                moved = [(states[0] & mask) << 1 & whole]
-                for e in range(1, most + 1):
-                    moved.append(((states[e] & mask) << 1 | states[e - 1] | states[e - 1] << 1 | moved[e - 1] << 1) & whole)
-                if moved[most]:
+                last = (states[0] & mask) << 1 & whole
+                moved = [last]
+                for e in range(1, child[BELOW] + 1):
+                    last = ((states[e] & mask) << 1 | states[e - 1] | states[e - 1] << 1 | last << 1) & whole
+                    moved.append(last)
+                if last:
                     todo.append((child, moved))
         return best and (best[1], best[0])
 
     def maybe_near(self, found: pa.Array) -> np.ndarray:
-        """Words that can be near a term: of two or three parts of a term one is left whole by its edits."""
-        given = lambda values: pa.array(sorted(values), pa.string())
-        mask = pc.is_in(pc.utf8_slice_codeunits(found, 0, 2), value_set=given(self.prefixes))
-        mask = pc.or_(mask, pc.is_in(pc.utf8_slice_codeunits(found, -3), value_set=given(self.suffixes)))
-        for at in (1, 2, 3):
-            mask = pc.or_(mask, pc.is_in(pc.utf8_slice_codeunits(found, at, at + 3), value_set=given(self.middles)))
-        longest = max(map(len, self.words), default=0) + 2
-        fits = pc.and_(pc.greater_equal(pc.utf8_length(found), 4), pc.less_equal(pc.utf8_length(found), longest))
-        return pc.and_(mask, fits).to_numpy(zero_copy_only=False)
+        """Words that can be near a term, by its length and parts: edits leave its beginning, its end or, two of them on both sides, its middle."""
+        sizes = pc.utf8_length(found).to_numpy(zero_copy_only=False)
+        out = np.zeros(len(found), bool)
+        for n in sorted({len(t) for t in self.words if allowed_edits(t)}):
+            terms = [t for t in self.words if len(t) == n]
+            edits = allowed_edits(terms[0])
+            at = np.flatnonzero((np.abs(sizes - n) <= edits) & ~out)
+            if not len(at):
+                continue
+            some = found.take(pa.array(at))
+            head = n // (edits + 1)
+            tail = n - head * edits
+            parts = [(0, head, 0, head), (-tail, None, -tail, None)]
+            if edits > 1:
+                parts += [(head, 2 * head, head + shift, 2 * head + shift) for shift in (-1, 0, 1)]
+            hit = np.zeros(len(at), bool)
+            for a, b, i, j in parts:
+                values = pa.array(sorted({t[a:b] for t in terms}), pa.string())
+                hit |= pc.is_in(pc.utf8_slice_codeunits(some, i, j), value_set=values).to_numpy(zero_copy_only=False)
+            out[at[hit]] = True
+        return out
 
     def strengths(self, found: pa.Array, seen: dict[str, float], near_only: bool = False) -> np.ndarray:
         """Evidence of each distinct word, 0 for most. ``seen`` caches what automata found."""
