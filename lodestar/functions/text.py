@@ -31,6 +31,9 @@ SPACE = r"[\p{IsWhite_Space}]+"
 TRIM_CLASS = "[" + "".join("\\" + c if c in "[]\\^-" else c for c in TRIMMED) + "]+"
 EXCERPT_RUNES, SUMMARY_RUNES, ANSWER_RUNES = 320, 240, 180
 
+#: Between the terms of full text.
+NOT_TERM = r"[^\p{L}\p{N}]+"
+
 
 def collapsed(text: Column) -> Column:
     """Words joined by single blanks; null for null."""

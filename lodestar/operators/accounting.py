@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,20 +17,41 @@ def usage(entries: DataFrame, quota: int) -> DataFrame:
     return entries.filter(~F.col("deleted")).groupBy("owner_id").agg(used.alias("used_bytes"), F.count("*").alias("files"), F.greatest(F.lit(quota) - used, F.lit(0)).cast("long").alias("free_bytes"))
 
 
-def admitted(requests: DataFrame, quota: int, owner: str = "owner_id", order: str = "request_id", size: str = "size_bytes") -> DataFrame:
-    """``admitted`` of each request in order: those that don't fit are refused and use nothing, so later ones may fit.
+def quota_moves(moves: DataFrame, quota: int) -> DataFrame:
+    """Moves of owners' quotas (owner_id, move_id, kind, size_bytes) in order: ``accepted``, and ``used_bytes`` and ``reserved_bytes`` after each.
 
-    The fold is sequential in one owner by its nature; only ids and sizes are gathered, 16 bytes a request.
+    ``reserve`` and ``add`` are refused, and change nothing, if used, reserved and new bytes are over the quota;
+    ``release`` and ``remove`` never go below 0; ``commit`` turns reserved bytes into used ones; other kinds are refused.
+    An owner's moves are sequential by their nature. They pass a task sorted by Spark, and only two counters are held.
     """
-    item = F.struct(F.col(order).alias("id"), F.col(size).alias("size"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<id:{requests.schema[order].dataType.simpleString()},ok:boolean>>").alias("done"))
+    parted = moves.select("owner_id", "move_id", "kind", "size_bytes").repartition("owner_id").sortWithinPartitions("owner_id", "move_id")
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, used, reserved = object(), 0, 0
+        for batch in batches:
+            out = []
+            for who, kind, size in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if who != owner:
+                    owner, used, reserved = who, 0, 0
+                size, ok = size or 0, kind in ("release", "remove", "commit")
+                if kind in ("reserve", "add") and used + reserved + size <= quota:
+                    ok, used, reserved = True, used + size * (kind == "add"), reserved + size * (kind == "reserve")
+                elif kind in ("release", "commit"):
+                    reserved, used = max(reserved - size, 0), used + size * (kind == "commit")
+                elif kind == "remove":
+                    used = max(used - size, 0)
+                out.append((ok, used, reserved))
+            added = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.bool_(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *added], names=["owner_id", "move_id", "accepted", "used_bytes", "reserved_bytes"])
+
+    kinds = {c: moves.schema[c].dataType.simpleString() for c in ("owner_id", "move_id")}
+    return parted.mapInArrow(folded, f"owner_id {kinds['owner_id']}, move_id {kinds['move_id']}, accepted boolean, used_bytes long, reserved_bytes long")
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc.used + x["size"] <= quota
-        return F.struct(F.when(fits, acc.used + x["size"]).otherwise(acc.used).alias("used"), F.array_append(acc.done, F.struct(x.id.alias("id"), fits.alias("ok"))).alias("done"))
 
-    folded = requests.groupBy(owner).agg(F.array_sort(F.collect_list(item)).alias("all")).select(owner, F.explode(F.aggregate("all", start, step, lambda acc: acc.done)).alias("x"))
-    return folded.select(owner, F.col("x.id").alias(order), F.col("x.ok").alias("admitted"))
+def admitted(requests: DataFrame, quota: int, owner: str = "owner_id", order: str = "request_id", size: str = "size_bytes") -> DataFrame:
+    """``admitted`` of each request in order: those that don't fit are refused and use nothing, so later ones may fit."""
+    moves = requests.select(F.col(owner).alias("owner_id"), F.col(order).alias("move_id"), F.lit("reserve").alias("kind"), F.col(size).alias("size_bytes"))
+    return quota_moves(moves, quota).select(F.col("owner_id").alias(owner), F.col("move_id").alias(order), F.col("accepted").alias("admitted"))
 
 
 def share_state(shares: DataFrame, now: Column) -> DataFrame:

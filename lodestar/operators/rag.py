@@ -50,19 +50,24 @@ def answer(found: DataFrame, question: str) -> DataFrame:
 
 
 def validated(raw: Column, allowed: Column) -> Column:
-    """A struct (answer, grounded, citations) of a provider's raw reply.
+    """A struct (answer, grounded, citations, error) of a provider's raw reply.
 
-    A reply that is no JSON is an ungrounded answer. Citations outside of ``allowed`` and repeated ones
-    go; without any left, or if the reply says so, the answer is ungrounded and has none.
-    An empty JSON answer is null.
+    A reply that is no JSON object of the agreed types is an ungrounded answer as it stands. Citations outside of
+    ``allowed`` and repeated ones go; without any left, or if the reply says so, the answer is ungrounded and has none.
+    JSON whose answer is missing or blank is an ``error``, with no answer.
     """
     bare = stripped(F.regexp_replace(F.regexp_replace(stripped(raw), "^```json", ""), "```$", ""))
     parsed = F.from_json(bare, "answer string, grounded boolean, citations array<string>", {"mode": "PERMISSIVE"})
-    is_json = bare.rlike(r"(?s)^\{.*\}$") & parsed.answer.isNotNull()
+    value = F.try_parse_json(bare)
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(value, path, "variant")), F.lit("VOID"))
+    typed = kind("$.answer").isin("STRING", "VOID") & kind("$.grounded").isin("BOOLEAN", "VOID") & kind("$.citations").isin("ARRAY<STRING>", "ARRAY<VOID>", "VOID")
+    is_json = F.coalesce(F.schema_of_variant(value).startswith("OBJECT") & typed, F.lit(False)) | (bare == "null")
+    said = null_if_blank(parsed.answer)
     cited = F.array_distinct(F.filter(F.coalesce(parsed.citations, F.array().cast("array<string>")), lambda c: F.array_contains(allowed, c)))
-    grounded = is_json & F.coalesce(parsed.grounded, F.lit(False)) & (F.size(cited) > 0)
+    grounded = is_json & said.isNotNull() & F.coalesce(parsed.grounded, F.lit(False)) & (F.size(cited) > 0)
     return F.struct(
-        F.when(is_json, null_if_blank(parsed.answer)).otherwise(bare).alias("answer"),
+        F.when(is_json, said).otherwise(bare).alias("answer"),
         grounded.alias("grounded"),
         F.when(grounded, cited).otherwise(F.array().cast("array<string>")).alias("citations"),
+        F.when(is_json & said.isNull(), "empty answer").alias("error"),
     )

@@ -7,18 +7,17 @@ Filters come before ranking, so a limit counts permitted rows only. Top-k steps
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import excerpt
+from lodestar.functions.text import NOT_TERM, excerpt
 from lodestar.functions.vectors import bucket_dot, bucket_norm, cosine, hashed_buckets, query_vector, trigram_similarity, vector_literal
 
 MODES = ("name", "fulltext", "semantic", "hybrid")
 RRF_CONSTANT, MOST_CITATIONS, NAME_LEAST = 60, 3, 0.1
 MOST_QUERY_RUNES, MOST_MIME_TYPES = 1000, 20
-NOT_TERM = r"[^\p{L}\p{N}]+"
 
 
 class InvalidInput(ValueError):
@@ -35,6 +34,8 @@ class SearchInput:
     owner_id: int | None = None
     folders: tuple[str, ...] | None = None
     mime_types: tuple[str, ...] = ()
+    pipeline_version: str | None = None
+    model_version: str | None = None
 
     def checked(self) -> SearchInput:
         """The input with trimmed query and a limit from 1 to 100."""
@@ -42,7 +43,7 @@ class SearchInput:
         if not query or len(query) > MOST_QUERY_RUNES or len(self.mime_types) > MOST_MIME_TYPES or self.mode not in MODES:
             raise InvalidInput(f"invalid search: mode {self.mode!r}, {len(query)} characters, {len(self.mime_types)} MIME types")
         limit = 20 if self.limit <= 0 else min(self.limit, 100)
-        return SearchInput(query, self.mode, limit, self.owner_id, self.folders, self.mime_types)
+        return replace(self, query=query, limit=limit)
 
     @property
     def candidates(self) -> int:
@@ -83,8 +84,12 @@ def query_terms(query: str) -> list[str]:
 
 
 def matching_chunks(chunks: DataFrame, query: str) -> DataFrame:
-    """Chunks that hold all terms, with ``terms``, their array of lower-case terms."""
+    """Chunks that hold all terms, with ``terms``, their array of lower-case terms; an index has it already."""
     wanted = query_terms(query)
+    if "terms" in chunks.columns:
+        for term in wanted:
+            chunks = chunks.filter(F.array_contains("terms", term))
+        return chunks if wanted else chunks.limit(0)
     held = chunks.withColumn("terms", F.filter(F.split(F.lower("content"), NOT_TERM), lambda t: t != ""))
     for term in wanted:
         held = held.filter(F.lower("content").contains(term) & F.array_contains("terms", term))
@@ -128,8 +133,23 @@ def fulltext_candidates(entries: DataFrame, chunks: DataFrame, wanted: SearchInp
 
 
 def semantic_candidates(entries: DataFrame, chunks: DataFrame, wanted: SearchInput) -> DataFrame:
-    """Best chunks by cosine to the query's hashed embedding; an exact scan, and zero vectors match nothing."""
+    """Best chunks by cosine to the query's hashed embedding; an exact scan, and zero vectors match nothing.
+
+    Chunks of an index (``vector``, ``norm``) are read at the query's few non-zero places; those of other
+    pipeline or model versions than ``wanted`` names are left out, as their vectors can't be compared.
+    """
     wanted = wanted.checked()
+    for column, version in (("pipeline_version", wanted.pipeline_version), ("model_version", wanted.model_version)):
+        if version is not None:
+            chunks = chunks.filter(F.col(column) == version)
+    if "vector" in chunks.columns:
+        files, mine = _scope(entries, chunks, wanted)
+        score = F.lit(0.0)
+        for place, weight in enumerate(query_vector(wanted.query)):
+            if weight:
+                score = score + F.lit(weight) * F.get("vector", F.lit(place))
+        scored = mine.select("object_id", "ordinal", "content", F.when(F.col("norm") > 0, F.round(score / F.col("norm"), 9)).alias("score"))
+        return _best(files.join(scored, "object_id"), wanted).filter("score IS NOT NULL")
     # three projections, so that no array is built twice; a filter before the limit would be pushed into them
     files, mine = _scope(entries, chunks, wanted)
     coded = mine.select("object_id", "ordinal", "content", hashed_buckets(F.col("content")).alias("_codes"))

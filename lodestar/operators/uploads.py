@@ -65,22 +65,32 @@ def expired(sessions: DataFrame, now: Column, batch: int = 100) -> DataFrame:
     return stale.orderBy("expires_at", "session_id").limit(batch)
 
 
-def decisions(requests: DataFrame, sessions: DataFrame, entries: DataFrame) -> DataFrame:
-    """What each create request gets: ``invalid``, ``replay``, ``name_conflict``, ``file_exists`` or ``multipart``.
+def decisions(requests: DataFrame, sessions: DataFrame, entries: DataFrame, now: Column | None = None, accounts: DataFrame | None = None) -> DataFrame:
+    """What each create request gets: ``invalid``, ``replay``, ``name_conflict``, ``quota_exceeded``, ``instant`` (the owner has the content) or ``multipart``.
 
     Checked in that order. Requests have request_id, owner_id, folder_id, name, sha256,
-    size_bytes and idempotency_key.
+    size_bytes and idempotency_key. A name is taken by a live entry, or by a session (owner_id, folder_id, name, status,
+    expires_at, if it has these) that is active at ``now``. Content is known by hash and size. ``accounts`` (owner_id, used_bytes,
+    reserved_bytes, quota_bytes) refuses requests that don't fit alone; several of a batch are a matter of ``quota_moves``.
     """
     replays = sessions.select("owner_id", "idempotency_key").distinct().withColumn("_replay", F.lit(True))
     live = entries.filter(~F.col("deleted"))
-    names = live.select("owner_id", "folder_id", F.lower("name").alias("_name")).distinct().withColumn("_taken", F.lit(True))
-    content = live.select("owner_id", F.col("object_id").alias("sha256")).distinct().withColumn("_held", F.lit(True))
+    names = live.select("owner_id", "folder_id", F.lower("name").alias("_name"))
+    if now is not None:
+        flight = sessions.filter(F.col("status").isin(*ACTIVE) & (F.col("expires_at") > now))
+        names = names.unionByName(flight.select("owner_id", "folder_id", F.lower("name").alias("_name")))
+    names = names.distinct().withColumn("_taken", F.lit(True))
+    content = live.select("owner_id", F.col("object_id").alias("sha256"), "size_bytes").distinct().withColumn("_held", F.lit(True))
     valid = valid_name(F.col("name")) & valid_sha256(F.col("sha256")) & (F.col("size_bytes") > 0) & F.length("idempotency_key").between(1, 128)
     joined = (
         requests.withColumn("_name", F.lower(stripped(F.col("name"))))
         .join(replays, ["owner_id", "idempotency_key"], "left")
         .join(names, ["owner_id", "folder_id", "_name"], "left")
-        .join(content, ["owner_id", "sha256"], "left")
+        .join(content, ["owner_id", "sha256", "size_bytes"], "left")
     )
-    decision = F.when(~F.coalesce(valid, F.lit(False)), "invalid").when(F.col("_replay"), "replay").when(F.col("_taken"), "name_conflict").when(F.col("_held"), "file_exists").otherwise("multipart")
+    over = F.lit(False)
+    if accounts is not None:
+        joined = joined.join(accounts.select("owner_id", (F.col("quota_bytes") - F.col("used_bytes") - F.col("reserved_bytes")).alias("_free")), "owner_id", "left")
+        over = F.col("size_bytes") > F.coalesce("_free", F.lit(0))
+    decision = F.when(~F.coalesce(valid, F.lit(False)), "invalid").when(F.col("_replay"), "replay").when(F.col("_taken"), "name_conflict").when(over, "quota_exceeded").when(F.col("_held"), "instant").otherwise("multipart")
     return joined.select("request_id", decision.alias("decision"))

@@ -31,6 +31,29 @@ def quota_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.admitted(requests, QUOTA)
 
 
+@query(
+    "quota_moves",
+    """WITH l AS (SELECT o_custkey AS owner_id, list(struct_pack(i := o_orderkey, k := o_orderkey % 5, s := floor(o_totalprice)::BIGINT) ORDER BY o_orderkey) AS xs FROM orders GROUP BY o_custkey),
+       f AS (SELECT owner_id, xs, list_reduce(list_prepend(struct_pack(u := 0::BIGINT, r := 0::BIGINT, k := 0::BIGINT, d := []::STRUCT(ok BOOLEAN, u BIGINT, r BIGINT)[]), list_transform(xs, lambda x: struct_pack(u := x.s, r := 0::BIGINT, k := x.k::BIGINT, d := []::STRUCT(ok BOOLEAN, u BIGINT, r BIGINT)[]))),
+         lambda a, x: struct_pack(
+           u := CASE WHEN x.k = 1 AND a.u + a.r + x.u <= 500000 THEN a.u + x.u WHEN x.k = 3 THEN a.u + x.u WHEN x.k = 4 THEN greatest(a.u - x.u, 0) ELSE a.u END,
+           r := CASE WHEN x.k = 0 AND a.u + a.r + x.u <= 500000 THEN a.r + x.u WHEN x.k IN (2, 3) THEN greatest(a.r - x.u, 0) ELSE a.r END,
+           k := x.k,
+           d := list_append(a.d, struct_pack(ok := x.k > 1 OR a.u + a.r + x.u <= 500000,
+             u := CASE WHEN x.k = 1 AND a.u + a.r + x.u <= 500000 THEN a.u + x.u WHEN x.k = 3 THEN a.u + x.u WHEN x.k = 4 THEN greatest(a.u - x.u, 0) ELSE a.u END,
+             r := CASE WHEN x.k = 0 AND a.u + a.r + x.u <= 500000 THEN a.r + x.u WHEN x.k IN (2, 3) THEN greatest(a.r - x.u, 0) ELSE a.r END)))) AS z FROM l),
+       o AS (SELECT owner_id, unnest(list_transform(xs, lambda x: x.i)) AS move_id, unnest(z.d) AS m FROM f)
+       SELECT owner_id, move_id, m.ok AS accepted, m.u AS used_bytes, m.r AS reserved_bytes FROM o""",
+)
+def quota_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as moves of the five kinds, by number."""
+    kinds = F.array(*map(F.lit, ("reserve", "add", "release", "commit", "remove")))
+    moves = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("owner_id"), F.col("o_orderkey").alias("move_id"), F.get(kinds, (F.col("o_orderkey") % 5).cast("int")).alias("kind"), F.floor("o_totalprice").cast("long").alias("size_bytes")
+    )
+    return op.quota_moves(moves, QUOTA)
+
+
 @query(
     "share_validity",
     """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'revoked' WHEN event_id % 3 <> 0 AND ts + INTERVAL 10 DAY <= TIMESTAMP '2024-01-20' THEN 'expired' ELSE 'valid' END AS state FROM events""",

@@ -73,9 +73,10 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = stream_dir(spark, "windows")
     events = table(spark, sf_dir, "events")
     closing = spark.range(1).select(F.lit(None).cast("long").alias("user_id"), F.expr("TIMESTAMP '9000-01-01'").alias("ts"))
-    for part, rows in (("0", events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))), ("1", closing)):
-        rows.coalesce(1).write.mode("append").parquet(f"{at}/source/part={part}")
-    source = spark.readStream.schema("user_id long, ts timestamp").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{at}/source/part=*")
+    # files are read in the order of their times, so the closing one comes last
+    events.select("user_id", F.col("ts").cast("timestamp").alias("ts")).write.parquet(f"{at}/source/part=0")
+    closing.coalesce(1).write.parquet(f"{at}/source/part=1")
+    source = spark.readStream.schema("user_id long, ts timestamp").option("maxFilesPerTrigger", 64).option("latestFirst", "false").parquet(f"{at}/source/part=*")
     op.run_to_end(op.window_counts(source.withWatermark("ts", "400 days")), at)
     rows = spark.read.parquet(f"{at}/rows").filter("user_id IS NOT NULL")
     return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
@@ -138,7 +139,17 @@ def retry_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.retry_state(tasks).select("event_id", "next")
 
 
-@query("traced_payloads", """SELECT event_id, json_extract_string(props, '$.k') AS k, 'trace-' || event_id AS trace FROM events""")
+@query(
+    "traced_payloads",
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN '[' || event_id || ']' WHEN 1 THEN '{"n":' || event_id || ',"o":{"x":[1,2.5,null]},"b":true,"s":"' || event_type || '"}'
+                WHEN 2 THEN '{"n":' || event_id || ',"_trace":{"id":"' || event_id || '"}}'
+                ELSE '{"n":' || event_id || ',"o":{"x":[1,2.5,null]},"b":true,"s":"' || event_type || '","_trace":{"id":"' || event_id || '"}}' END AS payload FROM events""",
+)
 def traced_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    payload = op.traced(F.col("props"), F.concat(F.lit("trace-"), "event_id"))
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object(payload, "$.k").alias("k"), F.get_json_object(payload, "$._trace").alias("trace"))
+    """Whole payloads: lists, objects of every type with and without a trace context, and objects that have one already."""
+    n, kind = F.col("event_id").cast("string"), F.col("event_id") % 5
+    whole = F.concat(F.lit('{"n":'), n, F.lit(',"o":{"x":[1,2.5,null]},"b":true,"s":"'), "event_type", F.lit('"}'))
+    old = F.concat(F.lit('{"_trace":"old","n":'), n, F.lit("}"))
+    payload = F.when(kind == 0, F.concat(F.lit("["), n, F.lit("]"))).when(kind == 2, old).otherwise(whole)
+    trace = F.when(kind != 1, F.concat(F.lit('{"id":"'), n, F.lit('"}')))
+    return table(spark, sf_dir, "events").select("event_id", op.traced(payload, trace).alias("payload"))

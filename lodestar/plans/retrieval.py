@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.checkpoints import stream_dir
 from lodestar.functions.vectors import trigram_similarity
 from lodestar.operators import rag, search, tree
-from lodestar.operators.documents import chunked
+from lodestar.operators.documents import chunked, index_rows
 from lodestar.plans.files import PATHS_SQL, SCOPE
 from lodestar.plans.registry import query
 from lodestar.plans.texts import CHUNKS_SQL, HASHED_SQL
@@ -17,10 +18,20 @@ NAME, TERMS, OWNER = "small gear", "the of and", 1
 WANTED = search.SearchInput(TERMS, "hybrid", 20, OWNER)
 
 
+PIPELINE, MODEL = "p2", "m1"
+#: Where each session has written the index of a folder of tables.
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def indexed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of the objects whose document is indexed."""
-    status = document_status(spark, sf_dir).filter("status = 'indexed'")
-    return chunked(objects(spark, sf_dir).join(status, "object_id", "left_semi"))
+    """The search index: chunks of the objects whose document is indexed, with terms and vectors. Written once in a session, then read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        at = stream_dir(spark, "index")
+        status = document_status(spark, sf_dir).filter("status = 'indexed'")
+        index_rows(chunked(objects(spark, sf_dir).join(status, "object_id", "left_semi")), PIPELINE, MODEL).write.parquet(at)
+        _STORED[key] = at
+    return spark.read.parquet(_STORED[key])
 
 
 TRIGRAMS_SQL = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w)::BIGINT + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
@@ -114,6 +125,15 @@ def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(search.semantic_candidates(entries(spark, sf_dir), indexed_chunks(spark, sf_dir), WANTED))
 
 
+@query("semantic_versions", f"WITH {FULL_CANDIDATES}, {SEMANTIC_CANDIDATES} SELECT {SHOWN} FROM semantic_c WHERE false UNION ALL SELECT {SHOWN} FROM semantic_c")
+def semantic_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index beside its rows of an older model, whose vectors differ: only those of the wanted versions are ranked."""
+    chunks = indexed_chunks(spark, sf_dir)
+    older = chunks.withColumns({"model_version": F.lit("m0"), "vector": F.transform("vector", lambda v: (v + 1).cast("short"))})
+    wanted = search.SearchInput(TERMS, "semantic", 20, OWNER, pipeline_version=PIPELINE, model_version=MODEL)
+    return shown(search.semantic_candidates(entries(spark, sf_dir), chunks.unionByName(older), wanted))
+
+
 CITATION = r"{'id': file_id || ':' || ordinal, 'excerpt': substr(trim(regexp_replace(content, '\s+', ' ', 'g')), 1, 320)}"
 HITS = "file_id, name, round(score, 6) AS score, place, list_aggregate(list_transform(citations, lambda c: c.id), 'string_agg', ',') AS citations"
 
@@ -215,15 +235,16 @@ def answer_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "citation_validation",
-    r"""SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS answer, turn % 5 <> 4 AND turn <= 2 AND turn % 2 = 0 AS grounded,
-              CASE WHEN turn % 5 <> 4 AND turn <= 2 AND turn % 2 = 0 THEN 'c' || turn ELSE '' END AS citations
+    r"""SELECT conv_id, turn, CASE WHEN turn % 5 <> 3 THEN regexp_replace(text, '^\s+|\s+$', '', 'g') END AS answer, turn % 5 <> 4 AND turn <= 2 AND turn % 2 = 0 AS grounded,
+              CASE WHEN turn % 5 <> 4 AND turn <= 2 AND turn % 2 = 0 THEN 'c' || turn ELSE '' END AS citations, CASE WHEN turn % 5 = 3 THEN 'empty answer' END AS error
        FROM conversations WHERE text IS NOT NULL AND trim(text) <> ''""",
 )
 def citation_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as provider replies: JSON with a known, an unknown and a repeated citation, or bare text."""
+    """Turns as provider replies: JSON with a known, an unknown and a repeated citation, JSON without an answer, or bare text."""
     turns = table(spark, sf_dir, "conversations").filter("text IS NOT NULL AND trim(text) <> ''")
     own = F.concat(F.lit("c"), "turn")
     reply = F.to_json(F.struct(F.col("text").alias("answer"), (F.col("turn") % 2 == 0).alias("grounded"), F.array(own, F.lit("unknown"), own).alias("citations")))
-    raw = F.when(F.col("turn") % 5 == 4, F.col("text")).otherwise(F.concat(F.lit("```json\n"), reply, F.lit("\n```")))
+    silent = F.to_json(F.struct(F.lit(True).alias("grounded"), F.array(own).alias("citations")))
+    raw = F.when(F.col("turn") % 5 == 4, F.col("text")).when(F.col("turn") % 5 == 3, silent).otherwise(F.concat(F.lit("```json\n"), reply, F.lit("\n```")))
     checked = turns.select("conv_id", "turn", rag.validated(raw, F.array(*map(F.lit, ("c0", "c1", "c2")))).alias("v"))
-    return checked.select("conv_id", "turn", "v.answer", "v.grounded", F.array_join("v.citations", ",").alias("citations"))
+    return checked.select("conv_id", "turn", "v.answer", "v.grounded", F.array_join("v.citations", ",").alias("citations"), "v.error")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,17 +85,17 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "index_outcomes",
-    """SELECT object_id, outcome, CASE WHEN outcome = 'unsupported' THEN 'ai.unsupported_type' END AS error_code FROM (
-         SELECT p.page_id AS object_id, CASE WHEN p.url LIKE 'https:%' THEN 'current' WHEN p.page_id % 2 = 1 THEN 'unsupported' ELSE 'process' END AS outcome FROM pages p)""",
+    """SELECT object_id, outcome, CASE WHEN outcome = 'unsupported' THEN CASE WHEN large THEN 'ai.object_too_large' ELSE 'ai.unsupported_type' END END AS error_code FROM (
+         SELECT p.page_id AS object_id, strlen(html) > 4000 AS large, CASE WHEN p.url LIKE 'https:%' THEN 'current' WHEN p.page_id % 2 = 1 OR strlen(html) > 4000 THEN 'unsupported' ELSE 'process' END AS outcome FROM pages p)""",
 )
 def index_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as files whose names and types alternate: HTML is read only as an octet stream with a source name. Those of secure sites are indexed."""
+    """Pages as files whose names and types alternate: HTML is read only as an octet stream with a source name. Those of secure sites are indexed, and 4000 bytes are the most."""
     pages = table(spark, sf_dir, "pages")
     name = F.concat("page_id", F.lit(".html"))
     raw = F.when(F.col("page_id") % 2 == 1, "text/html").otherwise("application/octet-stream")
     files = pages.select(F.col("page_id").alias("object_id"), F.octet_length("html").alias("size_bytes"), text.effective_mime(raw, name).alias("mime_type"))
     known = pages.filter("url LIKE 'https:%'").select(F.col("page_id").alias("object_id"), F.lit("indexed").alias("status"), F.lit("p2").alias("pipeline_version"), F.lit("m1").alias("model_version"))
-    return documents.index_outcomes(files, known, "p2", "m1")
+    return documents.index_outcomes(files, known, "p2", "m1", most_bytes=4000)
 
 
 @query("stored_chunks", f"SELECT object_id, ordinal, md5(content) AS content_md5 FROM ({CHUNKS_SQL})")
@@ -127,11 +128,20 @@ def reprocess_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.task_states(table(spark, sf_dir, "events").select(key.alias("dedupe_key"), "event_id", "ts", step.alias("kind")))
 
 
-@query("decode_text")
+@query(
+    "decode_text",
+    r"""SELECT doc_id::VARCHAR AS object_id, CASE WHEN NOT bad THEN length(text) END::INT AS runes, CASE WHEN NOT bad THEN md5(text) END AS text_md5, CASE WHEN bad THEN 'invalid: ValueError' END AS error
+        FROM (SELECT doc_id, coalesce(text, '') AS text, regexp_matches(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]') AS bad FROM documents)""",
+)
 def decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's bytes through the extraction path: half in UTF-8, half in GB18030 where that can hold it."""
+    """Every document's bytes through the extraction path: those of even ids in UTF-8, those of odd ids in GB18030."""
     from lodestar.sources.content import extracted
 
-    docs = table(spark, sf_dir, "documents")
-    files = docs.select(F.col("doc_id").cast("string").alias("object_id"), F.lit("text/plain").alias("mime_type"), F.encode("text", "UTF-8").alias("content"))
-    return extracted(files).select("object_id", F.length("text").alias("runes"), "error")
+    def encoded(batches):
+        for batch in batches:
+            out = [(t or "").encode("gb18030" if i % 2 else "utf-8") for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "content"])
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(encoded, "doc_id long, content binary")
+    files = docs.select(F.col("doc_id").cast("string").alias("object_id"), F.lit("text/plain").alias("mime_type"), "content")
+    return extracted(files).select("object_id", F.length("text").alias("runes"), F.md5("text").alias("text_md5"), "error")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.keys import backoff_ms
+from lodestar.operators import accounting as op_accounts
 from lodestar.operators import uploads as op
 from lodestar.plans.registry import query
 from lodestar.sources.drive import ENTRIES_SQL, entries, objects, table
@@ -95,12 +96,14 @@ def expire_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH e AS ({ENTRIES_SQL}),
         r AS (SELECT doc_id, doc_id % 4 AS owner_id, source AS folder_id, CASE WHEN doc_id % 3 = 0 THEN (SELECT any_value(name) FROM e WHERE file_id = doc_id) ELSE 'new-' || doc_id END AS name,
                      CASE WHEN doc_id % 5 = 0 THEN 'x' WHEN doc_id % 2 = 0 THEN sha256(text) ELSE sha256('new' || doc_id) END AS h, strlen(text) AS size, 'k' || doc_id AS key FROM documents),
-        s AS (SELECT DISTINCT o_custkey % 4 AS owner_id, 'k' || o_custkey AS key FROM orders WHERE o_orderstatus = 'P'),
+        s AS (SELECT DISTINCT o_custkey % 4 AS owner_id, 'k' || o_custkey AS key, 'src' || o_custkey % 20 AS folder_id, 'new-' || (o_custkey + 4) AS name, o_orderdate AS expires_at FROM orders WHERE o_orderstatus = 'P'),
         live AS (SELECT * FROM e WHERE NOT deleted)
         SELECT doc_id AS request_id, CASE WHEN h = 'x' OR size = 0 THEN 'invalid'
                WHEN EXISTS (SELECT 1 FROM s WHERE s.owner_id = r.owner_id AND s.key = r.key) THEN 'replay'
-               WHEN EXISTS (SELECT 1 FROM live WHERE live.owner_id = r.owner_id AND live.folder_id = r.folder_id AND live.name = r.name) THEN 'name_conflict'
-               WHEN EXISTS (SELECT 1 FROM live WHERE live.owner_id = r.owner_id AND live.object_id = r.h) THEN 'file_exists' ELSE 'multipart' END AS decision FROM r""",
+               WHEN EXISTS (SELECT 1 FROM live WHERE live.owner_id = r.owner_id AND live.folder_id = r.folder_id AND live.name = r.name)
+                 OR EXISTS (SELECT 1 FROM s WHERE s.owner_id = r.owner_id AND s.folder_id = r.folder_id AND s.name = r.name AND s.expires_at > TIMESTAMP '1995-01-01') THEN 'name_conflict'
+               WHEN size > 2000 THEN 'quota_exceeded'
+               WHEN EXISTS (SELECT 1 FROM live WHERE live.owner_id = r.owner_id AND live.object_id = r.h AND live.size_bytes = r.size) THEN 'instant' ELSE 'multipart' END AS decision FROM r""",
 )
 def upload_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = entries(spark, sf_dir)
@@ -115,8 +118,17 @@ def upload_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("text").alias("size_bytes"),
         F.concat(F.lit("k"), doc).alias("idempotency_key"),
     )
-    earlier = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.pmod("o_custkey", F.lit(4)).alias("owner_id"), F.concat(F.lit("k"), "o_custkey").alias("idempotency_key"))
-    return op.decisions(requests, earlier, files)
+    customer = F.col("o_custkey")
+    earlier = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(
+        F.pmod(customer, F.lit(4)).alias("owner_id"),
+        F.concat(F.lit("k"), customer).alias("idempotency_key"),
+        F.concat(F.lit("src"), customer % 20).alias("folder_id"),
+        F.concat(F.lit("new-"), customer + 4).alias("name"),
+        F.lit("uploading").alias("status"),
+        F.col("o_orderdate").alias("expires_at"),
+    )
+    accounts = op_accounts.usage(files, 0).select("owner_id", "used_bytes", F.lit(0).alias("reserved_bytes"), (F.col("used_bytes") + 2000).alias("quota_bytes"))
+    return op.decisions(requests, earlier, files, F.expr("TIMESTAMP_NTZ '1995-01-01'"), accounts)
 
 
 @query("retry_backoff", "SELECT l_orderkey, l_linenumber, min(least(100 * pow(2, l_linenumber - 1), 2000))::BIGINT AS delay_ms FROM lineitem GROUP BY ALL")

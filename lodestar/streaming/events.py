@@ -71,14 +71,32 @@ def failure_windows(calls: DataFrame, seconds: int = WINDOW_SECONDS, least: int
 
 
 class Breaker:
-    """The state of one breaker, stepped by calls in time order; plain values, so a stream can keep it."""
+    """The state of one breaker, stepped by calls in time order; plain values, so a stream can keep it.
+
+    Calls are counted in buckets of time that begin at the first call, and anew when the breaker opens or closes and after
+    a pause of the whole window.
+    """
 
     def __init__(self, state: tuple | None = None, seconds: int = WINDOW_SECONDS, buckets: int = 10, least: int = LEAST_REQUESTS, rate: float = FAILURE_RATE, open_seconds: float = OPEN_SECONDS, probes: int = PROBES):
         self.width, self.buckets, self.least, self.rate, self.open_seconds, self.probes = seconds / buckets, buckets, least, rate, open_seconds, probes
-        self.state, self.since, self.passed, self.calls = state or ("closed", 0.0, 0, [])
+        self.state, self.since, self.passed, self.calls, self.start, self.bucket = state or ("closed", 0.0, 0, [], None, 0)
+
+    def turn(self, state: str, at: float) -> None:
+        self.state, self.since, self.calls, self.start, self.bucket = state, at, [], at, 0
+
+    def advance(self, at: float) -> None:
+        """Moves to the bucket of a time and forgets those that left the window."""
+        self.start = at if self.start is None else self.start
+        steps = int((at - self.start) / self.width + 1e-9)
+        if steps >= self.buckets:
+            self.calls, self.start, self.bucket = [], at, 0
+        elif steps > 0:
+            self.start, self.bucket = self.start + steps * self.width, self.bucket + steps
+            self.calls = [c for c in self.calls if c[0] > self.bucket - self.buckets]
 
     def step(self, at: float, success: bool) -> tuple[bool, str]:
         """Whether a call at a time is let through, and the state after its outcome."""
+        self.advance(at)
         if self.state == "open" and at - self.since >= self.open_seconds:
             self.state, self.passed = "half_open", 0
         if self.state == "open":
@@ -86,18 +104,16 @@ class Breaker:
         if self.state == "half_open":
             self.passed += success
             if not success:
-                self.state, self.since, self.calls = "open", at, []
+                self.turn("open", at)
             elif self.passed >= self.probes:
-                self.state, self.calls = "closed", []
+                self.turn("closed", at)
             return True, self.state
-        bucket = int(at // self.width)
-        self.calls = [c for c in self.calls if c[0] > bucket - self.buckets]
-        if not self.calls or self.calls[-1][0] != bucket:
-            self.calls.append([bucket, 0, 0])
+        if not self.calls or self.calls[-1][0] != self.bucket:
+            self.calls.append([self.bucket, 0, 0])
         self.calls[-1][1 + (not success)] += 1
         total, failed = sum(c[1] + c[2] for c in self.calls), sum(c[2] for c in self.calls)
         if not success and total >= self.least and failed / total >= self.rate:
-            self.state, self.since, self.calls = "open", at, []
+            self.turn("open", at)
         return True, self.state
 
 
@@ -140,13 +156,20 @@ def histogram(requests: DataFrame, edges: tuple[float, ...]) -> DataFrame:
 
 
 def traced(payload: Column, trace: Column) -> Column:
-    """A JSON object with the trace context merged in under ``_trace``."""
-    fields = F.from_json(payload, "map<string,string>")
-    return F.to_json(F.map_concat(F.coalesce(fields, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), F.create_map(F.lit("_trace"), trace)))
+    """A JSON object with the trace context, itself JSON, merged in under ``_trace`` in place of what is there; other values keep their types.
+
+    A payload that is no object stays as it is, and so does any without a trace context.
+    """
+    fields = F.from_json(F.when(payload.rlike(r"^\s*\{"), payload), "map<string,variant>", {"mode": "PERMISSIVE"})
+    added = F.try_parse_json(trace)
+    known = F.when(F.try_parse_json(payload).isNotNull(), fields)
+    merged = F.map_concat(F.map_filter(known, lambda k, v: k != "_trace"), F.create_map(F.lit("_trace"), added))
+    return F.when(known.isNotNull() & added.isNotNull(), F.to_json(merged)).otherwise(payload)
 
 
 def stream_of(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -> DataFrame:
     """A stream of the event files at a path (as a pattern, since a stream's path can't be one file); the offsets of the query's checkpoint stand for the outbox's row locks."""
+    path = path.rstrip("/")
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
