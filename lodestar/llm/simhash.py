@@ -37,7 +37,7 @@ COUNTED = 1 << 17
 #: five-word shingles is within 4 bits in one of them in over nine of ten cases (tests measure it).
 PRINTS = 10
 #: Bytes of shingles that one task compares with as many others.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 
 #: The primes of XXH64.
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
@@ -251,7 +251,7 @@ def _forest(run: np.ndarray, fp: np.ndarray, radius: int, refs: np.ndarray, tall
     """
     n = len(fp)
     table = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8)
-    order = np.lexsort((table[:, 0], run))
+    order = np.lexsort((fp, table[:, 0], run))
     run, fp, table = run[order], fp[order], table[order]
     joined = _Joined(n)
     out_a, out_b = [], []
