@@ -242,8 +242,16 @@ class _Joined:
             self.label[up] = self.label[self.label[up]]
 
 
-def _forest(run: np.ndarray, fp: np.ndarray, radius: int, refs: np.ndarray, tally: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links inside each run of equal values of ``run``.
+def _together(run: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of each row the first row of its run that has its id."""
+    out, order = np.arange(len(run)), np.lexsort((ids, run))
+    new = np.flatnonzero(np.append(True, (np.diff(run[order]) != 0) | (np.diff(ids[order]) != 0)))
+    out[order] = np.repeat(order[new], np.diff(np.append(new, len(run))))
+    return out
+
+
+def _forest(run: np.ndarray, fp: np.ndarray, radius: int, refs: np.ndarray, tally: np.ndarray | None = None, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the links inside each run of equal values of ``run``; rows of equal ``ids`` are joined from the start.
 
     Rows of a run are sorted by their distance to the first pivot, and every row is compared with the
     row ``step`` places on, for growing steps, until that coordinate differs by more than the
@@ -254,6 +262,8 @@ def _forest(run: np.ndarray, fp: np.ndarray, radius: int, refs: np.ndarray, tall
     order = np.lexsort((fp, table[:, 0], run))
     run, fp, table = run[order], fp[order], table[order]
     joined = _Joined(n)
+    if ids is not None and n:
+        joined.label = _together(run, ids[order])
     out_a, out_b = [], []
     left = np.arange(n)
     for step in range(1, n):
@@ -335,8 +345,9 @@ def links(prints: DataFrame, radius: int = 4, n_pivots: int = 16, bucket_rows: i
     """Edges ``a, b`` between ids whose fingerprints differ in at most ``radius`` bits.
 
     ``prints`` has one row (id long, fp long) per distinct fingerprint, or (no int, id, fp) per
-    distinct fingerprint of each of several kinds, which are compared apart. The edges are a
-    subset of all links with the same connected components. Only fingerprints are dealt to the buckets, once; a bucket of
+    distinct fingerprint of each of several kinds, which are compared apart. Rows of one id are one node, so links
+    inside a group that is known already are neither sought nor sent. The edges are a
+    subset of all links with the same connected components. Ids and fingerprints are dealt to the buckets, once; a bucket of
     more than ``bucket_rows`` of them is set aside, dealt again in blocks, and each pair of blocks is a task of its
     own: memory stays bounded, and no pair is left out. ``shared`` blocks of bits are equal in a bucket; by
     default their number follows from the size of the table, and the links don't depend on it.
@@ -347,14 +358,14 @@ def links(prints: DataFrame, radius: int = 4, n_pivots: int = 16, bucket_rows: i
         shared = shared_blocks(prints.groupBy("no").count().agg(F.max("count")).first()[0] or 0, radius)
     refs, bucket = pivots(n_pivots), ["kind", "bits"]
     n_choices = comb(radius + shared, shared)
-    keyed = prints.withColumn("k", F.explode(_keys(F.col("fp"), radius, shared))).select((F.col("no") * n_choices + F.col("k.choice")).alias("kind"), "k.bits", "fp")
+    keyed = prints.withColumn("k", F.explode(_keys(F.col("fp"), radius, shared))).select((F.col("no") * n_choices + F.col("k.choice")).alias("kind"), "k.bits", "id", "fp")
     edge = "kind int, bits long, a long, b long"
 
     def forest(part: pa.Table, run: np.ndarray) -> pa.RecordBatch:
-        fp = part.column("fp").to_numpy()
-        a, b = _forest(run, fp.view(np.uint64), radius, refs)
+        ids = part.column("id").to_numpy()
+        a, b = _forest(run, part.column("fp").to_numpy().view(np.uint64), radius, refs, ids=ids)
         kinds = part.column("kind").to_numpy()[a]
-        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.nulls(len(a), pa.int64()), pa.array(fp[a]), pa.array(fp[b])], names=["kind", "bits", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.nulls(len(a), pa.int64()), pa.array(ids[a]), pa.array(ids[b])], names=["kind", "bits", "a", "b"])
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, run in _runs(batches, bucket, bucket_rows):
@@ -384,9 +395,7 @@ def links(prints: DataFrame, radius: int = 4, n_pivots: int = 16, bucket_rows: i
     found = first.filter("a IS NOT NULL")
     if not large.isEmpty():
         found = found.unionByName(second)
-    pairs = found.select(F.floor(F.col("kind") / n_choices).cast("int").alias("no"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    of = lambda end: prints.select("no", F.col("fp").alias(end), F.col("id").alias(f"id_{end}"))
-    return pairs.join(of("a"), ["no", "a"]).join(of("b"), ["no", "b"]).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
@@ -444,8 +453,9 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
 
     Two texts are linked if one of their ``n_prints`` fingerprints of word pairs differs in at most
     ``radius`` bits and their sets of ``shingle`` words share at least ``least`` of their union; groups are the
-    components of all links. First the fingerprints alone give candidate components. Only texts in one of two or
-    more are read again, as sorted hashes of their shingles, and compared inside it. A component of more than
+    components of all links. First the fingerprints alone give candidate components: those of the first
+    fingerprint are one node each while the others are searched, so a large group sends its links once and not from
+    every bucket of every fingerprint. Only texts in a component of two or more are read again, as sorted hashes of their shingles, and compared inside it. A component of more than
     ``block_bytes`` of hashes is cut into blocks, and each pair of blocks is a task of its own.
     Null and blank texts have no shingles and equal each other. Ids are whole numbers or null.
     """
@@ -463,11 +473,17 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     kinds = F.array(*[F.struct(F.lit(k).alias("no"), F.col(x).alias("fp")) for k, x in enumerate(names)])
     each = nodes.select("node", F.explode(kinds).alias("k")).select("k.no", "k.fp", "node")
-    first = written(each.groupBy("no", "fp").agg(F.min("node").alias("id"), F.max("node").alias("last")), "prints")
-    # texts with an equal fingerprint are tied to the first of them, and only that one is searched
-    equal = each.join(first.filter("id <> last"), ["no", "fp"]).filter("node <> id").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    near = links(first.select("no", "id", "fp"), radius, bucket_rows=bucket_rows)
-    roots = written(connected_components(near.unionByName(equal)), "candidates")
+
+    def searched(some: DataFrame, name: str) -> DataFrame:
+        first = written(some.groupBy("no", "fp").agg(F.min("node").alias("id"), F.max("node").alias("last")), name)
+        # nodes with an equal fingerprint are tied to the first of them, and only that one is searched
+        equal = some.join(first.filter("id <> last"), ["no", "fp"]).filter("node <> id").select(F.col("node").alias("a"), F.col("id").alias("b"))
+        return links(first.select("no", "id", "fp"), radius, bucket_rows=bucket_rows).unionByName(equal.distinct())
+
+    known = written(connected_components(searched(each.filter("no = 0"), "prints")), "known")
+    joined = each.filter("no > 0").join(known, "node", "left").select("no", "fp", F.coalesce("root", "node").alias("node"))
+    more = searched(joined, "more-prints")
+    roots = written(connected_components(more.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))), "candidates")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
