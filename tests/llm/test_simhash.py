@@ -198,3 +198,27 @@ def test_any_number_of_equal_blocks(spark, shared):
     roots = {r.node: r.root for r in connected_components(simhash.links(frame, shared=shared)).collect()}
     assert {i: roots.get(i, i) for i in rows} == brute_groups(rows)
     assert simhash.shared_blocks(200_000, 4) == 2 < simhash.shared_blocks(2 * 10**10, 4)
+
+
+def test_known_groups_are_one_node():
+    rng = np.random.default_rng(5)
+    heads = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    fp = np.repeat(heads, 8) ^ (np.uint64(1) << rng.integers(0, 64, 240).astype(np.uint64))
+    ids = rng.integers(0, 120, 240)
+    run = np.sort(rng.integers(0, 3, 240))
+    a, b = simhash._forest(run, fp, 4, simhash.pivots(16), ids=ids)
+    assert all(run[x] == run[y] and ids[x] != ids[y] and int(fp[x] ^ fp[y]).bit_count() <= 4 for x, y in zip(a, b, strict=True))
+
+    def groups(edges):
+        label = list(range(240))
+        for x, y in edges:
+            low, high = sorted((label[x], label[y]))
+            label = [low if z == high else z for z in label]
+        return label
+
+    same = [(x, y) for x in range(240) for y in range(x) if run[x] == run[y] and ids[x] == ids[y]]
+    near = [(x, y) for x in range(240) for y in range(x) if run[x] == run[y] and int(fp[x] ^ fp[y]).bit_count() <= 4]
+    forest = groups([*same, *zip(a.tolist(), b.tolist(), strict=True)])
+    assert forest == groups([*same, *near])
+    # a forest: every edge joins two groups
+    assert len(a) == len(set(groups(same))) - len(set(forest))
