@@ -7,19 +7,22 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import checkpointed
 
+#: Edges that one task of a round takes. A small graph isn't spread over hundreds of partitions, a large one keeps them.
+EDGES_A_TASK = 1 << 19
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Ties every larger neighbour of a node to the smallest node of its neighbourhood."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Ties every smaller neighbour of a node, and the node, to the smallest of them (edges have u > v)."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -28,7 +31,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Self-loops and edges with a null end are left out, repeated edges count once. Each round
     is two joins and two pre-aggregated groupings of the edges, none of which gathers a
     node's neighbours in one row; rounds grow with the logarithm of the longest path.
-    Every round ends in a checkpoint, so that lost executors cost one round at most.
+    Every round ends in a checkpoint, so that lost executors cost one round at most. A round has as many tasks
+    as its edges ask for, at most those of the shuffle.
     """
     ends = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now, before = checkpointed(ends), None
@@ -36,6 +40,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if not state.n or state == before:
             break
-        now, before = checkpointed(_small_star(_large_star(now))), state
+        tasks = -(-state.n // EDGES_A_TASK)
+        tied = _large_star(now.coalesce(tasks), tasks).coalesce(tasks)
+        now, before = checkpointed(_small_star(tied, tasks).coalesce(tasks)), state
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestar.llm import simhash
+from lodestar.llm import components, simhash
 from lodestar.llm.components import connected_components
 from lodestar.llm.queries import QUERIES
 
@@ -75,7 +75,9 @@ def test_links_equal_brute_force(spark, bucket_rows):
     assert {i: roots.get(i, i) for i in rows} == brute_groups(rows)
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("edges_a_task", [components.EDGES_A_TASK, 40])
+def test_components_of_a_long_path(spark, monkeypatch, edges_a_task):
+    monkeypatch.setattr(components, "EDGES_A_TASK", edges_a_task)
     path = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     extra = spark.createDataFrame([(900, 900), (None, 3), (700, 701), (701, 700)], "a long, b long")
     got = {r.node: r.root for r in connected_components(path.unionByName(extra)).collect()}
