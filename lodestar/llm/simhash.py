@@ -423,11 +423,10 @@ def _similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return common >= least * (whole - common)
 
 
-def _verified(run: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], radius: int, least: float) -> tuple[list[int], list[int]]:
-    """Edges of a spanning forest of the texts of each run that are close in a fingerprint and similar by their sets."""
+def _verified(run: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each text to the first text of its group, for the texts of each run that are close in a fingerprint and similar by their sets."""
     n, sizes = len(run), np.array([len(s) for s in sets])
     joined = _Joined(n)
-    out_a, out_b = [], []
     left = np.arange(n)
     for step in range(1, n):
         left = left[left + step < n]
@@ -441,11 +440,10 @@ def _verified(run: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], radiu
         for a in i.tolist():
             if joined.top(a) != joined.top(a + step) and _similar(sets[a], sets[a + step], least):
                 joined.join(a, a + step)
-                out_a.append(a)
-                out_b.append(a + step)
         if len(i):
             joined.flatten()
-    return out_a, out_b
+    tied = np.flatnonzero(joined.label != np.arange(n))
+    return tied, joined.label[tied]
 
 
 def near_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = 4, least: float = 0.8, shingle: int = 5, n_prints: int = PRINTS, seed: int = 42, bucket_rows: int = 2048, block_bytes: int = BLOCK_BYTES) -> DataFrame:
