@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions.keys import base64url, hmac_sha256
+from lodestar.functions.keys import access_token, accessed_share, base64url, hmac_sha256
 from lodestar.operators import accounting as op
 from lodestar.plans.registry import query
 from lodestar.sources.drive import ENTRIES_SQL, entries, table
@@ -122,6 +122,19 @@ def share_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signed.withColumn("token", base64url(F.unhex("signature")))
 
 
+@query(
+    "share_access",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 0 AND o_orderkey % 11 > 0 AND o_orderkey % 13 > 0 AND o_orderkey % 100 > 50 THEN 's' || o_orderkey END AS share_id FROM orders""",
+)
+def share_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as holders of access tokens: some are altered, signed by another key, cut, or expired."""
+    key, share = F.col("o_orderkey"), F.concat(F.lit("s"), F.col("o_orderkey"))
+    until = key % 100 + 1_700_000_000
+    token = access_token(KEY, share, until)
+    sent = F.when(key % 7 == 0, F.concat(F.lit("x"), token)).when(key % 11 == 0, access_token(b"another", share, until)).when(key % 13 == 0, F.split_part(token, F.lit("."), F.lit(1))).otherwise(token)
+    return table(spark, sf_dir, "orders").select("o_orderkey", accessed_share(KEY, sent, F.lit(1_700_000_050)).alias("share_id"))
+
+
 @query(
     "processing_lease",
     """SELECT event_id, CASE WHEN event_type = 'view' AND ts >= TIMESTAMP '2024-01-20' - INTERVAL 180 SECOND THEN 'busy'

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import text
-from lodestar.functions.keys import object_path, scaled_edges
+from lodestar.functions.keys import fitted_edges, object_path, scaled_edges
 from lodestar.operators import objects as op
 from lodestar.operators import tree
 from lodestar.plans.registry import query
@@ -163,6 +163,17 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", width.alias("width"), height.alias("height"))
 
 
+@query(
+    "thumbnail_edges",
+    """WITH s AS (SELECT p_partkey, p_partkey * 7 + 1 AS w, p_size * 50 - 50 AS h FROM part), f AS (SELECT *, least(1.0::DOUBLE, 512.0::DOUBLE / nullif(w, 0), 512.0::DOUBLE / nullif(h, 0)) AS scale FROM s)
+       SELECT p_partkey, CASE WHEN w > 0 AND h > 0 AND w * h <= 40000000 THEN greatest(1, floor(w * scale)) END::BIGINT AS width, CASE WHEN w > 0 AND h > 0 AND w * h <= 40000000 THEN greatest(1, floor(h * scale)) END::BIGINT AS height FROM f""",
+)
+def thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as images, some of them empty or too large."""
+    width, height = fitted_edges(F.col("p_partkey") * 7 + 1, F.col("p_size").cast("long") * 50 - 50, 512, 512)
+    return table(spark, sf_dir, "part").select("p_partkey", width.alias("width"), height.alias("height"))
+
+
 @query(
     "cas_update",
     f"""{E_SQL}, c AS (SELECT event_id AS command_id, user_id AS file_id, event_id % 3 AS expected FROM events),

@@ -1,6 +1,8 @@
 """Every core query against its SQL, and small cases by hand."""
 
+import base64
 import glob
+import hmac
 import io
 import json
 import os
@@ -77,6 +79,23 @@ def test_hmac(spark):
         assert values(spark, keys.hmac_sha256(key, F.col("x")), ["message", ""]) == [hmac.new(key, m, hashlib.sha256).hexdigest() for m in (b"message", b"")]
 
 
+def test_access_tokens(spark):
+    token = values(spark, keys.access_token(b"k", F.col("x"), F.lit(100)), ["s1"])[0]
+    claims, signature = token.split(".")
+    assert json.loads(base64.urlsafe_b64decode(claims + "=" * (-len(claims) % 4))) == {"share_id": "s1", "expires_at": 100}
+    forged = "AA." + base64.urlsafe_b64encode(hmac.digest(b"k", b"AA", "sha256")).decode().rstrip("=")
+    sent = [token, token + ".", claims, claims + "." + signature[:-2], "", "é.ü", None, forged, "a.b"]
+    assert values(spark, keys.accessed_share(b"k", F.col("x"), F.lit(99)), sent) == ["s1"] + [None] * 8
+    assert values(spark, keys.accessed_share(b"k", F.col("x"), F.lit(100)), [token]) == [None]
+    assert [x and bytes(x) for x in values(spark, keys.from_base64url(F.col("x")), ["_-8", "", "a", "a=", "a+bc", None])] == [b"\xff\xef", b"", None, None, None, None]
+
+
+def test_boxes(spark):
+    sizes = spark.createDataFrame([(1024, 768), (300, 200), (1, 5000), (0, 10), (10_000, 5000), (None, 3)], "w long, h long")
+    got = [tuple(r) for r in sizes.select(*keys.fitted_edges(F.col("w"), F.col("h"), 512, 512)).collect()]
+    assert got == [(512, 384), (300, 200), (1, 512), (None, None), (None, None), (None, None)]
+
+
 def test_hashed_embedding_equals_the_plain_one(spark):
     texts = ["the quick  brown the", "x", "Ünï code the"]
     row = spark.createDataFrame([(t,) for t in texts], "x string").select(vectors.hashed_buckets(F.col("x")).alias("b"))
