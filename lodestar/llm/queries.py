@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import licenses, quality, toxicity, url_filters, warc
+from lodestar.llm import fill_in_middle, licenses, merkle, quality, toxicity, url_filters, warc
 from lodestar.llm.common import new_folder, sized, table
 from lodestar.llm.decontamination import benchmark_matches
 from lodestar.llm.mixing import mix_copies
@@ -75,6 +75,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_copies(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = fill_in_middle.fim_restored(fill_in_middle.fill_in_middle(docs))
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("fim_output", 256).alias("output_sha256"), F.sha2("restored_text", 256).alias("restored_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    proofs = merkle.merkle_proofs(docs, tampered={"text": merkle.tampered_text()})
+    return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_warc": op2_warc,
@@ -86,6 +98,8 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -93,4 +107,6 @@ ORACLES: dict[str, str] = {
     "op2_warc": warc.ORACLE,
     "op4_url_filters": url_filters.ORACLE,
     "op6_quality_rules": quality.ORACLE,
+    "op12_fill_in_middle": fill_in_middle.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }
