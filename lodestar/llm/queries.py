@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import fill_in_middle, licenses, merkle, quality, toxicity, url_filters, warc
+from lodestar.llm import fill_in_middle, licenses, merkle, minhash, quality, toxicity, url_filters, warc
 from lodestar.llm.common import new_folder, sized, table
 from lodestar.llm.decontamination import benchmark_matches
 from lodestar.llm.mixing import mix_copies
@@ -75,6 +75,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_copies(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     back = fill_in_middle.fim_restored(fill_in_middle.fill_in_middle(docs))
@@ -98,6 +102,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
+    "op11_minhash": op11_minhash,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -107,6 +112,7 @@ ORACLES: dict[str, str] = {
     "op2_warc": warc.ORACLE,
     "op4_url_filters": url_filters.ORACLE,
     "op6_quality_rules": quality.ORACLE,
+    "op11_minhash": minhash.ORACLE,
     "op12_fill_in_middle": fill_in_middle.ORACLE,
     "op13_merkle_manifest": merkle.ORACLE,
 }
