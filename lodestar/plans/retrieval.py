@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions.checkpoints import stream_dir
+from lodestar.functions.checkpoints import shared_dir
 from lodestar.functions.vectors import trigram_similarity
 from lodestar.operators import rag, search, tree
 from lodestar.operators.documents import chunked, index_rows
+from lodestar.operators.index import SearchIndex, content_key
 from lodestar.plans.files import PATHS_SQL, SCOPE
 from lodestar.plans.registry import query
 from lodestar.plans.texts import CHUNKS_SQL, HASHED_SQL
@@ -19,19 +20,24 @@ WANTED = search.SearchInput(TERMS, "hybrid", 20, OWNER)
 
 
 PIPELINE, MODEL = "p2", "m1"
-#: Where each session has written the index of a folder of tables.
-_STORED: dict[tuple[str, str], str] = {}
 
 
-def indexed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The search index: chunks of the objects whose document is indexed, with terms and vectors. Written once in a session, then read."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED:
-        at = stream_dir(spark, "index")
+def search_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The index of the objects whose document is indexed, in the shared folder under a key of the tables' files; it is built where that has none.
+
+    A table that is rewritten has another key, and an index that is lost is built again.
+    """
+    key = content_key(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet")
+    index = SearchIndex(spark, f"{shared_dir(spark)}/index-{key}")
+    if not index.exists():
         status = document_status(spark, sf_dir).filter("status = 'indexed'")
-        index_rows(chunked(objects(spark, sf_dir).join(status, "object_id", "left_semi")), PIPELINE, MODEL).write.parquet(at)
-        _STORED[key] = at
-    return spark.read.parquet(_STORED[key])
+        index.add(index_rows(chunked(objects(spark, sf_dir).join(status, "object_id", "left_semi")), PIPELINE, MODEL))
+    return index
+
+
+def indexed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of the index with their terms and vectors."""
+    return search_index(spark, sf_dir).table("chunks").drop("chunk_id", "segment", "generation")
 
 
 TRIGRAMS_SQL = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w)::BIGINT + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
@@ -120,11 +126,23 @@ def fulltext_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(search.fulltext_candidates(entries(spark, sf_dir), indexed_chunks(spark, sf_dir), WANTED))
 
 
+@query("postings_search", f"WITH {FULL_CANDIDATES} SELECT {SHOWN} FROM full_c")
+def postings_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``fulltext_search`` from the postings of the query's three terms."""
+    return shown(search_index(spark, sf_dir).fulltext_candidates(entries(spark, sf_dir), WANTED))
+
+
 @query("semantic_search", f"WITH {FULL_CANDIDATES}, {SEMANTIC_CANDIDATES} SELECT {SHOWN} FROM semantic_c")
 def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(search.semantic_candidates(entries(spark, sf_dir), indexed_chunks(spark, sf_dir), WANTED))
 
 
+@query("semantic_postings", f"WITH {FULL_CANDIDATES}, {SEMANTIC_CANDIDATES} SELECT {SHOWN} FROM semantic_c")
+def semantic_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``semantic_search`` from the postings of the places where the query's vector isn't zero."""
+    return shown(search_index(spark, sf_dir).semantic_candidates(entries(spark, sf_dir), WANTED))
+
+
 @query("semantic_versions", f"WITH {FULL_CANDIDATES}, {SEMANTIC_CANDIDATES} SELECT {SHOWN} FROM semantic_c WHERE false UNION ALL SELECT {SHOWN} FROM semantic_c")
 def semantic_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index beside its rows of an older model, whose vectors differ: only those of the wanted versions are ranked."""
@@ -171,14 +189,14 @@ def fused_sql(limit: int) -> str:
 
 @query("rrf_fusion", f"WITH {fused_sql(100)} SELECT file_id, round(score, 6) AS score, place FROM fused")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, chunks = entries(spark, sf_dir), indexed_chunks(spark, sf_dir)
-    both = search.fused(search.fulltext_candidates(files, chunks, WANTED), search.semantic_candidates(files, chunks, WANTED), 100)
+    files, index = entries(spark, sf_dir), search_index(spark, sf_dir)
+    both = search.fused(index.fulltext_candidates(files, WANTED), index.semantic_candidates(files, WANTED), 100)
     return both.select("file_id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
 @query("hybrid_search", f"WITH {fused_sql(20)} SELECT {HITS} FROM fused")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits(search.search(entries(spark, sf_dir), indexed_chunks(spark, sf_dir), WANTED))
+    return hits(search_index(spark, sf_dir).search(entries(spark, sf_dir), WANTED))
 
 
 @query(
@@ -200,7 +218,7 @@ EVIDENCE_SQL = f"""{fused_sql(40)},
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = search.SearchInput(rag.checked_question(TERMS), "hybrid", rag.SEARCH_LIMIT, OWNER)
-    return rag.evidence(search.search(entries(spark, sf_dir), indexed_chunks(spark, sf_dir), wanted))
+    return rag.evidence(search_index(spark, sf_dir).search(entries(spark, sf_dir), wanted))
 
 
 # the search for an answer has a limit of forty files, so 160 candidates in each list
@@ -219,7 +237,7 @@ ALLOWED = tuple(range(1, 200, 4))
 def evidence_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence from fifty chosen files, which are picked after the search."""
     wanted = search.SearchInput(rag.checked_question(TERMS), "hybrid", rag.SEARCH_LIMIT, OWNER)
-    found = rag.evidence(search.search(entries(spark, sf_dir), indexed_chunks(spark, sf_dir), wanted), ALLOWED)
+    found = rag.evidence(search_index(spark, sf_dir).search(entries(spark, sf_dir), wanted), ALLOWED)
     return found.withColumn("n", F.col("n").cast("long"))
 
 
