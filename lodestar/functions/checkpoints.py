@@ -34,3 +34,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def stream_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for a streaming query's checkpoint and rows, in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether something lies at ``path``, in whatever file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

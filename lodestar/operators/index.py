@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.checkpoints import is_file
 from lodestar.functions.runs import changes, packed, unpacked, whole_runs
 from lodestar.functions.vectors import query_vector
 from lodestar.operators.search import SearchInput, fused, group_hits, permitted, query_terms, search
@@ -113,11 +114,11 @@ class SearchIndex:
         return self._path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def exists(self) -> bool:
-        return self._system().exists(self._path("g0", "READY"))
+        return is_file(self.spark, f"{self.at}/g0/READY")
 
     def _generations(self) -> int:
         n = 0
-        while self._system().exists(self._path(f"g{n}", "READY")):
+        while is_file(self.spark, f"{self.at}/g{n}/READY"):
             n += 1
         return n
 
@@ -152,7 +153,7 @@ class SearchIndex:
         system = self._system()
         system.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/staged"), True)
         if not system.rename(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at), self._path(f"g{generation}")):
-            if self._system().exists(self._path(f"g{generation}", "READY")):
+            if is_file(self.spark, f"{self.at}/g{generation}/READY"):
                 return  # another session was first
             raise OSError(f"{at} can't be renamed")
         system.create(self._path(f"g{generation}", "READY")).close()

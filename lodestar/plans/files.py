@@ -34,18 +34,42 @@ def breadcrumb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.breadcrumb(tree.folder_paths(tree_rows), tree_rows)
 
 
-@query(
-    "cycle_check",
-    f"""{PATHS_SQL}, m AS (SELECT 'n' || CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey ELSE s_suppkey % 25 END AS folder_id, 's' || s_suppkey AS target_id FROM supplier UNION ALL SELECT 'r0', 'nowhere')
-        SELECT m.folder_id, m.target_id, CASE WHEN p.path IS NULL THEN 'not_found' WHEN list_contains(p.path, m.folder_id) THEN 'cycle' ELSE 'ok' END AS verdict
-        FROM m LEFT JOIN paths p ON p.folder_id = m.target_id""",
-)
+CYCLES_SQL = f"""{PATHS_SQL}, m AS (SELECT 'n' || CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey ELSE s_suppkey % 25 END AS folder_id, 's' || s_suppkey AS target_id FROM supplier UNION ALL SELECT 'r0', 'nowhere')
+    SELECT m.folder_id, m.target_id, CASE WHEN p.path IS NULL THEN 'not_found' WHEN list_contains(p.path, m.folder_id) THEN 'cycle' ELSE 'ok' END AS verdict
+    FROM m LEFT JOIN paths p ON p.folder_id = m.target_id"""
+
+
+@query("cycle_check", CYCLES_SQL)
 def cycle_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.move_verdicts(moves(spark, sf_dir), tree.folder_paths(folders(spark, sf_dir)))
+
+
+def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nation's folder moved below each supplier's: its own nation's, or one by the supplier's number."""
     nation = F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey")).otherwise(F.col("s_suppkey") % 25)
-    moves = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("target_id"), F.concat(F.lit("n"), nation).alias("folder_id"))
-    missing = spark.range(1).select(F.lit("nowhere").alias("target_id"), F.lit("r0").alias("folder_id"))
-    return tree.move_verdicts(moves.unionByName(missing.select("target_id", "folder_id")), tree.folder_paths(folders(spark, sf_dir)))
+    asked = table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), nation).alias("folder_id"), F.concat(F.lit("s"), "s_suppkey").alias("target_id"))
+    return asked.unionByName(spark.range(1).select(F.lit("r0").alias("folder_id"), F.lit("nowhere").alias("target_id")))
+
+
+@query("interval_scope", f"{PATHS_SQL} SELECT folder_id, (len(path) - 1)::INT AS depth FROM paths WHERE list_contains(path, '{SCOPE}')")
+def interval_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``subtree_scope`` by a range of preorder numbers."""
+    return tree.interval_scope(tree.interval_labels(folders(spark, sf_dir)), SCOPE).select("folder_id", "depth")
+
+
+@query("interval_cycles", CYCLES_SQL)
+def interval_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``cycle_check`` by interval tests."""
+    return tree.interval_moves(moves(spark, sf_dir), tree.interval_labels(folders(spark, sf_dir)))
+
+
+@query(
+    "interval_labels",
+    f"""{PATHS_SQL}, p AS (SELECT folder_id, path FROM paths)
+        SELECT a.folder_id, (len(a.path) - 1)::INT AS depth, (SELECT count(*) FROM p b WHERE b.path < a.path) AS pre, (SELECT count(*) FROM p b WHERE list_contains(b.path, a.folder_id)) AS size FROM p a""",
+)
+def interval_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.interval_labels(folders(spark, sf_dir)).select("folder_id", "depth", "pre", "size")
 
 
 @query(

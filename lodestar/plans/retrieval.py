@@ -9,9 +9,11 @@ from lodestar.functions.checkpoints import shared_dir
 from lodestar.functions.vectors import trigram_similarity
 from lodestar.operators import rag, search, tree
 from lodestar.operators.documents import chunked, index_rows
+from lodestar.operators.cells import VectorCells
 from lodestar.operators.index import SearchIndex, content_key
+from lodestar.operators.names import NameIndex
 from lodestar.plans.files import PATHS_SQL, SCOPE
-from lodestar.plans.registry import query
+from lodestar.plans.registry import ORACLES, query
 from lodestar.plans.texts import CHUNKS_SQL, HASHED_SQL
 from lodestar.sources.drive import ENTRIES_SQL, STATUS_SQL, document_status, entries, folders, objects, table
 
@@ -61,6 +63,27 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.name_search(entries(spark, sf_dir), search.SearchInput(NAME, "name", 20, OWNER))
 
 
+@query("name_index_search", ORACLES["name_search"])
+def name_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``name_search`` by trigram postings; the index is keyed by the files of its tables."""
+    key = content_key(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/part.parquet")
+    index = NameIndex(spark, f"{shared_dir(spark)}/names-{key}")
+    if not index.exists():
+        index.build(entries(spark, sf_dir))
+    return index.search(search.SearchInput(NAME, "name", 20, OWNER))
+
+
+@query("ann_topk")
+def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cosine_topk`` over the vectors of the nearest cells; approximate, so there is no SQL: a test measures its recall."""
+    vectors = table(spark, sf_dir, "embeddings")
+    first = vectors.orderBy("vec_id").select("embedding").first()
+    cells = VectorCells(spark, f"{shared_dir(spark)}/cells-{content_key(spark, f'{sf_dir}/embeddings.parquet')}")
+    if not cells.exists():
+        cells.build(vectors)
+    return cells.topk(first.embedding if first else []).withColumn("score", F.round("score", 6))
+
+
 KINDS = ("text/plain", "application/json")
 
 
