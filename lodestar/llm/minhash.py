@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import free_names, slices, written
-from lodestar.llm.components import connected_components
-from lodestar.llm.simhash import _P1, _P4, _dealt, _mixed, _run_hashes, _runs, _word_hashes
+from lodestar.llm.rounds import merged, rounds
+from lodestar.llm.simhash import _P1, _P4, _dealt, _mixed, _run_hashes, _runs, _word_hashes, distinct_hashes
 
 #: At a similarity of 0.8 a pair shares no table with a probability of 2 * (1 - 0.8**3)**12, under 0.0004.
 HALVES, WIDTH = 12, 3
@@ -39,14 +39,7 @@ CACHED = 1 << 15
 def shingle_sets(texts: pa.Array, shingle: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of each text, one after the other, and their numbers."""
     offsets, h = _word_hashes(texts)
-    found, counts = _run_hashes(h, offsets, shingle)
-    ends = np.cumsum(counts)
-    for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
-        found[a:b].sort()
-    new = np.append(True, found[1:] != found[:-1]) if len(found) else np.zeros(0, bool)
-    new[(ends - counts)[counts > 0]] = True
-    kept = np.concatenate([[0], np.cumsum(new)])
-    return found[new], kept[ends] - kept[ends - counts]
+    return distinct_hashes(*_run_hashes(h, offsets, shingle))
 
 
 def half_keys(flat: np.ndarray, counts: np.ndarray, halves: int = HALVES, width: int = WIDTH, seed: int = 42) -> np.ndarray:
@@ -106,17 +99,6 @@ def buckets(nodes: DataFrame, halves: int = HALVES) -> DataFrame:
     return _repeated(pairs.select(F.xxhash64("a", "b").alias("key"), "node"))
 
 
-def _centred(state: DataFrame, number: int, orders: int) -> DataFrame:
-    """Pairs ``a, b`` of a set and a centre in another component that shares a bucket: one for each of ``orders`` random orders at most."""
-    ranks = [F.xxhash64(F.lit(number * 8 + j), "node") for j in range(orders)]
-    firsts = [F.min(F.struct(r.alias("rank"), F.col("node").alias("centre"), F.col("root").alias("of"))).alias(f"c{j}") for j, r in enumerate(ranks)]
-    centres = state.groupBy("key").agg(*firsts)
-    near = state.join(centres, "key")
-    best = near.groupBy("node").agg(*[F.min(F.when(F.col(f"c{j}.of") != F.col("root"), F.col(f"c{j}"))).alias(f"c{j}") for j in range(orders)])
-    found = best.select("node", F.explode(F.array(*[F.col(f"c{j}.centre") for j in range(orders)])).alias("centre")).filter("centre IS NOT NULL")
-    return found.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-
-
 class _Search:
     """The tables that rounds share: nodes (node, n, sketch) and sets (node, shingles)."""
 
@@ -171,27 +153,6 @@ class _Search:
         return dealt.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(compared, "a long, b long").distinct()
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
-    """``labels`` (node, root) after the links, and how many components have merged into others."""
-    a = labels.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    b = labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    moved = connected_components(links.join(a, "a").join(b, "b").select("ra", "rb"), "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("_to"))
-    merged = moved.filter("root <> _to").count()
-    if not merged:
-        return labels, 0
-    return written(labels.join(moved, "root", "left").select("node", F.coalesce("_to", "root").alias("root")), "labels"), merged
-
-
-def _open(state: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
-    """Buckets that lie in two components or more, with their rows' ``root``; the number of rows, and of pairs of different components."""
-    rows = state.select("key", "node").join(labels, "node")
-    spans = rows.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("key")
-    still = written(rows.join(spans, "key").select("key", "node", "root"), "open-buckets")
-    sizes = still.groupBy("key", "root").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    at = sizes.agg(F.sum("s").alias("rows"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")).first()
-    return still, int(at.rows or 0), int(at.pairs or 0)
-
-
 def _hashed(docs: DataFrame, id_column: str, text: str, shingle: int, halves: int, width: int, seed: int) -> DataFrame:
     """Of each row: ``id``, ``text_key``, ``n`` and, unless the set is empty, its ``digest``, half ``keys`` and ``sketch``."""
     body = docs.select(_col(id_column).cast("long").alias("id"), _text_key(text), _col(text).alias("text"))
@@ -249,18 +210,9 @@ def minhash_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     members = written(state.select("node").distinct(), "members")
     sets = written(_sets(docs, nodes.select("node", "head").join(members, "node"), id_column, text, shingle), "sets")
     search = _Search(nodes.join(members, "node"), sets, least)
-    labels, number = members.withColumn("root", F.col("node")), 0
-    state = state.withColumn("root", F.col("node"))
-    while True:
-        pairs = written(search.likely(_centred(state, number, 1 if number == 0 else 3)), "pairs")
-        labels, merged = _merged(labels, written(search.links(pairs), "links"))
-        state, size, open_pairs = _open(state, labels)
-        number += 1
-        # few pairs are left, or centres no longer find links
-        if open_pairs <= 2 * size or 20 * merged < pairs.count():
-            break
+    labels, left, open_pairs = rounds(state, search.likely, search.links)
     if open_pairs:
-        labels, _ = _merged(labels, written(search.links(written(search.rest(state, bucket_rows), "pairs")), "links"))
+        labels, _ = merged(labels, written(search.links(written(search.rest(left, bucket_rows), "pairs")), "links"))
     named = nodes.join(labels, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), F.col("head.id").alias("id"))
     smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))
     of = named.join(smallest, "root").select("digest", "component_id")
