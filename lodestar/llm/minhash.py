@@ -7,14 +7,15 @@ that occur once go before the pairs are formed.
 
 Sets that share a key of a table are candidates, and whole sets confirm links. Groups are found in rounds: each set
 is compared with one of its buckets' centres (later with three), links merge components, and buckets that lie in one component are
-done. So a group of near copies costs a multiple of its size. Pairs of different components that then remain in a bucket
-are compared by small sketches in blocks, and those that may be similar by their whole sets.
+done. So a group of near copies costs a multiple of its size. Of the sets that then remain it is counted how many shingles each has
+in common with any other: that bounds what a pair can share, and most texts with too many edits go by it. Pairs that are left are compared by
+small sketches in blocks, and those that may be similar by their whole sets.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import free_names, slices, written
-from lodestar.llm.rounds import merged, rounds
+from lodestar.llm.rounds import core_sizes, merged, rounds
 from lodestar.llm.simhash import _P1, _P4, _dealt, _mixed, _run_hashes, _runs, _word_hashes, distinct_hashes
 
 #: At a similarity of 0.8 a pair shares no table with a probability of 2 * (1 - 0.8**3)**12, under 0.0004.
@@ -100,10 +101,17 @@ def buckets(nodes: DataFrame, halves: int = HALVES) -> DataFrame:
 
 
 class _Search:
-    """The tables that rounds share: nodes (node, n, sketch) and sets (node, shingles)."""
+    """The tables that rounds share: nodes (node, n, core, sketch) and sets (node, shingles); ``core`` is how many shingles a set can have in common with another at most."""
 
     def __init__(self, nodes: DataFrame, sets: DataFrame, least: int):
-        self.nodes, self.sets, self.least = nodes.select("node", "n", "sketch"), sets, least
+        self.nodes, self.sets, self.least = nodes.withColumn("core", F.col("n")).select("node", "n", "core", "sketch"), sets, least
+
+    def focused(self, state: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+        """From now on sets are bound by what they share with those in the rows left; rows of sets that share too little with all of them go."""
+        cores = core_sizes(self.sets.join(state.select("node").distinct(), "node", "left_semi"))
+        able = self.nodes.drop("core").join(cores, "node").filter(100 * F.col("core") >= self.least * F.col("n"))
+        self.nodes = written(able.select("node", "n", "core", "sketch"), "cores")
+        return written(state.join(self.nodes.select("node"), "node", "left_semi"), "open-buckets"), self.likely
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Pairs that numbers and sketches leave possible."""
@@ -113,9 +121,10 @@ class _Search:
         def may(a: pd.Series, b: pd.Series) -> pd.Series:
             return pd.Series(maybe_similar(_matrix(a), _matrix(b), least)) if len(a) else pd.Series([], dtype=bool)
 
-        a = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("as"))
-        b = self.nodes.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bs"))
-        near = pairs.join(a, "a").join(b, "b").filter(100 * F.least("an", "bn") >= least * F.greatest("an", "bn"))
+        a = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("core").alias("ac"), F.col("sketch").alias("as"))
+        b = self.nodes.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("core").alias("bc"), F.col("sketch").alias("bs"))
+        most = F.least("ac", "bc")
+        near = pairs.join(a, "a").join(b, "b").filter(100 * most >= least * (F.col("an") + F.col("bn") - most))
         return near.filter(may("as", "bs")).select("a", "b")
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -135,7 +144,7 @@ class _Search:
 
         def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, run in _runs(batches, cell):
-                node, root, n = (part.column(c).to_numpy() for c in ("node", "root", "n"))
+                node, root, n, core = (part.column(c).to_numpy() for c in ("node", "root", "n", "core"))
                 bits, left, out = _matrix(part.column("sketch")), np.arange(part.num_rows), []
                 for step in range(1, part.num_rows):
                     left = left[left + step < part.num_rows]
@@ -143,7 +152,8 @@ class _Search:
                     if not len(left):
                         break
                     i = left[root[left] != root[left + step]]
-                    i = i[100 * np.minimum(n[i], n[i + step]) >= least * np.maximum(n[i], n[i + step])]
+                    most = np.minimum(core[i], core[i + step])
+                    i = i[100 * most >= least * (n[i] + n[i + step] - most)]
                     if len(i):
                         i = i[maybe_similar(bits[i], bits[i + step], least)]
                         out.append(np.stack([node[i], node[i + step]]))
@@ -210,7 +220,7 @@ def minhash_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     members = written(state.select("node").distinct(), "members")
     sets = written(_sets(docs, nodes.select("node", "head").join(members, "node"), id_column, text, shingle), "sets")
     search = _Search(nodes.join(members, "node"), sets, least)
-    labels, left, open_pairs = rounds(state, search.likely, search.links)
+    labels, left, open_pairs = rounds(state, search.likely, search.links, search.focused)
     if open_pairs:
         labels, _ = merged(labels, written(search.links(written(search.rest(left, bucket_rows), "pairs")), "links"))
     named = nodes.join(labels, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), F.col("head.id").alias("id"))

@@ -43,11 +43,23 @@ def still_open(state: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int
     return still, int(at.rows or 0), int(at.pairs or 0)
 
 
-def rounds(state: DataFrame, likely: Callable[[DataFrame], DataFrame], links: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, int]:
+def core_sizes(sets: DataFrame) -> DataFrame:
+    """``node`` and ``core``, how many of its ``shingles`` another of the sets has too: no two sets have more in common than the smaller core.
+
+    Counted by shingle: a shingle that many sets share is a count, never a list of them.
+    """
+    each = sets.select("node", F.explode("shingles").alias("x"))
+    shared = each.groupBy("x").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).filter("_lo <> _hi").select("x")
+    held = each.join(shared, "x").groupBy("node").agg(F.count("*").alias("core"))
+    return sets.select("node").join(held, "node", "left").select("node", F.coalesce("core", F.lit(0)).alias("core"))
+
+
+def rounds(state: DataFrame, likely: Callable[[DataFrame], DataFrame], links: Callable[[DataFrame], DataFrame], focus: Callable[[DataFrame], tuple[DataFrame, Callable[[DataFrame], DataFrame]]] | None = None) -> tuple[DataFrame, DataFrame, int]:
     """Links found by comparing each node with centres of its buckets, round by round: ``labels`` (node, root), the rows of
     ``state`` (key, node, root) in buckets of several components that are left, and the number of their pairs of different components.
 
-    ``likely`` drops pairs that can't be links, ``links`` confirms. It ends when few pairs are left or centres find few links; the
+    ``likely`` drops pairs that can't be links, ``links`` confirms. After the first round ``focus`` may drop rows of nodes that can't
+    have links among those left, and give a sharper ``likely``. It ends when few pairs are left or centres find few links; the
     pairs that are left are the caller's to compare, so the number of rounds decides nothing.
     """
     labels, number = written(state.select("node").distinct().withColumn("root", F.col("node")), "labels"), 0
@@ -57,5 +69,9 @@ def rounds(state: DataFrame, likely: Callable[[DataFrame], DataFrame], links: Ca
         labels, joined = merged(labels, written(links(pairs), "links"))
         state, size, left = still_open(state, labels)
         number += 1
-        if left <= 2 * size or 20 * joined < pairs.count():
+        if not left:
+            return labels, state, left
+        if number == 1 and focus is not None:
+            state, likely = focus(state)
+        elif left <= 2 * size or 20 * joined < pairs.count():
             return labels, state, left
