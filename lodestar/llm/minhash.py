@@ -8,8 +8,9 @@ that occur once go before the pairs are formed.
 Sets that share a key of a table are candidates, and whole sets confirm links. Groups are found in rounds: each set
 is compared with one of its buckets' centres (later with three), links merge components, and buckets that lie in one component are
 done. So a group of near copies costs a multiple of its size. Of the sets that then remain it is counted how many shingles each has
-in common with any other: that bounds what a pair can share, and most texts with too many edits go by it. Pairs that are left are compared by
-small sketches in blocks, and those that may be similar by their whole sets.
+in common with any other: that bounds what a pair can share, and many texts with too many edits go by it. Pairs of small buckets
+that sketches leave possible are then compared by their whole sets; in large buckets the sets outside of its largest component meet all others in blocks, and only links leave
+the task.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import free_names, slices, written
-from lodestar.llm.rounds import core_sizes, merged, rounds
-from lodestar.llm.simhash import _P1, _P4, _dealt, _mixed, _run_hashes, _runs, _word_hashes, distinct_hashes
+from lodestar.llm.rounds import core_sizes, merged, outside_links, rounds
+from lodestar.llm.simhash import _P1, _P4, _mixed, _run_hashes, _runs, _word_hashes, distinct_hashes
 
 #: At a similarity of 0.8 a pair shares no table with a probability of 2 * (1 - 0.8**3)**12, under 0.0004.
 HALVES, WIDTH = 12, 3
@@ -33,6 +34,8 @@ HALVES, WIDTH = 12, 3
 BINS = 256
 #: Standard deviations that an estimate by sketches may lie below the threshold before a pair is left out (one in 100,000).
 SLACK = 4.3
+#: Rows of a bucket whose pairs are formed; larger ones are compared in place.
+SMALL_BUCKET = 16
 #: Hashes that stay in cache while all minhashes of them are taken.
 CACHED = 1 << 15
 
@@ -73,12 +76,17 @@ def sketches(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def maybe_similar(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
-    """Whether sketches (rows x BINS) leave it possible that sets share ``least`` percent of their union."""
+def maybe_similar(a: np.ndarray, b: np.ndarray, whole: np.ndarray, least: int) -> np.ndarray:
+    """Whether sketches (rows x BINS) of sets with ``whole`` elements together leave it possible that they share ``least`` percent of their union.
+
+    The bins in use are a sample of the union without repetition, so the estimate of sets with few elements is nearly exact.
+    """
     either = ((a | b) > 0).sum(axis=1)
     equal = ((a == b) & (a > 0)).sum(axis=1)
     p = least / 100
-    return equal >= p * either - SLACK * np.sqrt(p * (1 - p) * either)
+    union = np.maximum(whole / (1 + p), either)
+    rest = (union - either) / np.maximum(union - 1, 1)
+    return equal >= p * either - 1 - SLACK * np.sqrt(p * (1 - p) * either * rest)
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray | pd.Series) -> np.ndarray:
@@ -93,11 +101,11 @@ def _repeated(rows: DataFrame) -> DataFrame:
 
 
 def buckets(nodes: DataFrame, halves: int = HALVES) -> DataFrame:
-    """``key, node`` of the tables' buckets that hold two sets or more; ``nodes`` has ``node`` and its half ``keys``."""
+    """``key, half, node`` of the tables' buckets that hold two sets or more; ``nodes`` has ``node`` and its half ``keys``."""
     each = _repeated(nodes.select("node", F.posexplode("keys").alias("slot", "key")))
     sides = each.groupBy("node").agg(F.collect_list(F.when(F.col("slot") < halves, F.col("key"))).alias("a"), F.collect_list(F.when(F.col("slot") >= halves, F.col("key"))).alias("b"))
     pairs = sides.select("node", F.explode("a").alias("a"), "b").select("node", "a", F.explode("b").alias("b"))
-    return _repeated(pairs.select(F.xxhash64("a", "b").alias("key"), "node"))
+    return _repeated(pairs.select(F.xxhash64("a", "b").alias("key"), F.col("a").alias("half"), "node"))
 
 
 class _Search:
@@ -118,14 +126,14 @@ class _Search:
         least = self.least
 
         @F.pandas_udf("boolean")
-        def may(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series(maybe_similar(_matrix(a), _matrix(b), least)) if len(a) else pd.Series([], dtype=bool)
+        def may(a: pd.Series, b: pd.Series, whole: pd.Series) -> pd.Series:
+            return pd.Series(maybe_similar(_matrix(a), _matrix(b), whole.to_numpy(), least)) if len(a) else pd.Series([], dtype=bool)
 
         a = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("core").alias("ac"), F.col("sketch").alias("as"))
         b = self.nodes.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("core").alias("bc"), F.col("sketch").alias("bs"))
         most = F.least("ac", "bc")
         near = pairs.join(a, "a").join(b, "b").filter(100 * most >= least * (F.col("an") + F.col("bn") - most))
-        return near.filter(may("as", "bs")).select("a", "b")
+        return near.filter(may("as", "bs", F.col("an") + F.col("bn"))).select("a", "b")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of the pairs those whose whole sets share ``least`` percent of their union."""
@@ -135,12 +143,24 @@ class _Search:
         whole = F.size("sa") + F.size("sb") - F.col("common")
         return both.filter(100 * F.col("common").cast("long") >= self.least * whole.cast("long")).select("a", "b")
 
-    def rest(self, state: DataFrame, bucket_rows: int) -> DataFrame:
-        """Pairs ``a, b`` of different components that share a bucket and may be similar by numbers and sketches."""
-        sizes = state.groupBy("key").agg(F.count("*").alias("_size"))
-        rows = state.join(self.nodes, "node").join(sizes, "key")
-        dealt = _dealt(rows, F.ceil(F.col("_size") / F.lit(bucket_rows)).cast("int"), "node").drop("_size")
-        cell, least = ["key", "low", "high"], self.least
+    def rest(self, state: DataFrame, halves: DataFrame) -> DataFrame:
+        """Links of different components that share a bucket. Pairs of small buckets are formed where sketches allow it, and confirmed by whole sets.
+
+        The nodes of a larger bucket are compared by whole sets at once, together with those of other large buckets that have its first half key
+        (``halves``: key, half): a set is then sent once for a half key, not for every table.
+        """
+        sizes = written(state.groupBy("key").agg(F.count("*").alias("_size")), "sizes")
+        small = state.join(sizes.filter(F.col("_size") <= SMALL_BUCKET), "key").join(self.nodes, "node")
+        found = self.links(written(self._small(small), "pairs"))
+        large = sizes.filter(F.col("_size") > SMALL_BUCKET).select("key")
+        if large.isEmpty():
+            return found
+        met = state.join(large, "key").join(halves, "key").select(F.col("half").alias("key"), "node", "root").distinct()
+        least = self.least
+        return found.unionByName(outside_links(met.join(self.sets, "node"), lambda common, n, own: 100 * common >= least * (n + own - common)))
+
+    def _small(self, rows: DataFrame) -> DataFrame:
+        cell, least = ["key"], self.least
 
         def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, run in _runs(batches, cell):
@@ -155,12 +175,12 @@ class _Search:
                     most = np.minimum(core[i], core[i + step])
                     i = i[100 * most >= least * (n[i] + n[i + step] - most)]
                     if len(i):
-                        i = i[maybe_similar(bits[i], bits[i + step], least)]
+                        i = i[maybe_similar(bits[i], bits[i + step], n[i] + n[i + step], least)]
                         out.append(np.stack([node[i], node[i + step]]))
                 found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(found.min(axis=0)), pa.array(found.max(axis=0))], names=["a", "b"])
 
-        return dealt.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(compared, "a long, b long").distinct()
+        return rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(compared, "a long, b long").distinct()
 
 
 def _hashed(docs: DataFrame, id_column: str, text: str, shingle: int, halves: int, width: int, seed: int) -> DataFrame:
@@ -204,7 +224,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_column: str, text: str, shingle
     return once.mapInArrow(made, "node long, shingles array<long>")
 
 
-def minhash_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 2, least: int = 80, halves: int = HALVES, width: int = WIDTH, seed: int = 42, bucket_rows: int = 2048) -> DataFrame:
+def minhash_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 2, least: int = 80, halves: int = HALVES, width: int = WIDTH, seed: int = 42) -> DataFrame:
     """Of each row: its id (a whole number), ``n_shingles``, ``component_id`` (smallest id reachable over links) and ``kept`` (it is that id).
 
     A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; a set holds the distinct ``shingle``-word shingles, of a text with
@@ -222,7 +242,7 @@ def minhash_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     search = _Search(nodes.join(members, "node"), sets, least)
     labels, left, open_pairs = rounds(state, search.likely, search.links, search.focused)
     if open_pairs:
-        labels, _ = merged(labels, written(search.links(written(search.rest(left, bucket_rows), "pairs")), "links"))
+        labels, _ = merged(labels, written(search.rest(left, state.select("key", "half").distinct()), "links"))
     named = nodes.join(labels, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), F.col("head.id").alias("id"))
     smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))
     of = named.join(smallest, "root").select("digest", "component_id")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import written
 from lodestar.llm.components import connected_components
 
+#: Bytes of shingles that a task compares (asking texts) with those of a block (all texts).
+ASKING_BYTES, BLOCK_BYTES = 1 << 20, 4 << 20
+
 
 def centred(state: DataFrame, number: int, orders: int) -> DataFrame:
     """Pairs ``a, b`` of a set and a centre in another component that shares a bucket: one for each of ``orders`` random orders at most."""
@@ -75,3 +80,76 @@ def rounds(state: DataFrame, likely: Callable[[DataFrame], DataFrame], links: Ca
             state, likely = focus(state)
         elif left <= 2 * size or 20 * joined < pairs.count():
             return labels, state, left
+
+
+def outside_links(rows: DataFrame, accept: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Links ``a, b`` of different components inside each ``key``, by whole sets; ``rows`` has ``key``, ``node``, ``root`` and ``shingles`` (and ``prints``, where ``near`` compares them).
+
+    In a pair of different components one node isn't in the largest of its key. Such nodes ask, in blocks by bytes, and all are told in
+    blocks by bytes: a key that is one large component with few nodes outside is sent about once. Pairs are compared where they meet, and only
+    links leave a task, of each asking node one for each component. ``accept`` decides by the common number and both sizes.
+    """
+    weight = (F.size("shingles") * 8 + 64).cast("long")
+    known = rows.withColumn("_w", weight)
+    sizes = known.groupBy("key", "root").agg(F.sum("_w").alias("w"))
+    tall = sizes.groupBy("key").agg(F.max_by("root", F.struct("w", "root")).alias("most"), F.sum("w").alias("whole"), (F.sum("w") - F.max("w")).alias("others")).filter("others > 0")
+    known = known.join(tall, "key").withColumn("blocks", F.ceil(F.col("whole") / BLOCK_BYTES).cast("int")).withColumn("turns", F.ceil(F.col("others") / ASKING_BYTES).cast("int"))
+    asks = known.filter("root <> most").withColumns({"turn": F.pmod(F.xxhash64("node"), F.col("turns")).cast("int"), "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "asks": F.lit(True)})
+    told = known.withColumns({"block": F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"), "turn": F.explode(F.sequence(F.lit(0), F.col("turns") - 1)), "asks": F.lit(False)})
+    cell = ["key", "turn", "block"]
+    names = [*cell, "asks", *[c for c in rows.columns if c != "key"]]
+    both = asks.select(*names).unionByName(told.select(*names))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _cells(batches, cell):
+            found = _cell_links(part, accept, near)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+    return both.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(compared, "a long, b long").distinct()
+
+
+def _cells(batches: Iterator[pa.RecordBatch], cell: list[str]) -> Iterator[pa.Table]:
+    """One table for each cell of sorted rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in cell])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if i == j:
+                continue
+            if held and any(held[0].column(c)[0] != batch.column(c)[i] for c in cell):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _cell_links(part: pa.Table, accept: Callable, near: Callable | None) -> np.ndarray:
+    """Links (2 x links) between the asking rows and the others of a cell."""
+    part = part.combine_chunks()
+    node, root, ask = (part.column(c).to_numpy() for c in ("node", "root", "asks"))
+    lists = part.column("shingles").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    flat, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+    bits = np.stack(part.column("prints").to_numpy()).view(np.uint64) if near is not None else None
+    known = np.unique(flat[ask[row]])
+    place = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
+    hit = known[place] == flat if len(known) else np.zeros(len(flat), bool)
+    told = hit & ~ask[row]
+    told_row, told_place = row[told], place[told]
+    starts, out = np.concatenate([[0], np.cumsum(sizes)]), []
+    marks = np.zeros(len(known), bool)
+    for i in np.flatnonzero(ask).tolist():
+        own = place[starts[i] : starts[i + 1]]
+        marks[own] = True
+        common = np.bincount(told_row[marks[told_place]], minlength=len(sizes))
+        marks[own] = False
+        at = np.flatnonzero(~ask & (root != root[i]) & (common > 0))
+        at = at[accept(common[at], sizes[at], sizes[i])]
+        if near is not None and len(at):
+            at = at[near(bits[at], bits[i])]
+        if len(at):
+            at = at[np.unique(root[at], return_index=True)[1]]
+            out.append(np.stack([np.minimum(node[at], node[i]), np.maximum(node[at], node[i])]))
+    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)

@@ -20,7 +20,6 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -30,7 +29,7 @@ from pyspark.sql import types as T
 
 from lodestar.llm.common import free_names, row_hash, slices, words, written
 from lodestar.llm.components import connected_components
-from lodestar.llm.rounds import merged, rounds
+from lodestar.llm.rounds import merged, outside_links, rounds
 
 BITS = 64
 #: Hashes whose bits are counted at a time.
@@ -459,14 +458,13 @@ def _verified(run: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], radiu
     return tied, joined.label[tied]
 
 
-def _large_groups(sets: DataFrame, names: list[str], radius: int, least: float, bucket_rows: int) -> DataFrame:
+def _large_groups(sets: DataFrame, names: list[str], radius: int, least: float) -> DataFrame:
     """Edges of the groups in large components; ``sets`` has ``root`` (the component), ``node``, fingerprints and ``shingles``.
 
     Texts are compared with centres of their component, round by round. What is then left are texts outside of the largest group of
-    their component: these are compared with all others of it by fingerprints, in blocks of rows without texts, and
-    pairs that are close by their sets.
+    their component: these are compared with all others of it, in blocks.
     """
-    prints = written(sets.select("root", "node", (F.octet_length("shingles") / 8).cast("long").alias("n"), F.array(*names).alias("prints")), "large-prints")
+    prints = written(sets.select("root", "node", F.size("shingles").alias("n"), F.array(*names).alias("prints")), "large-prints")
     short = prints.select("node", "n", "prints")
 
     def closest(pairs: DataFrame) -> DataFrame:
@@ -475,56 +473,20 @@ def _large_groups(sets: DataFrame, names: list[str], radius: int, least: float,
         close = F.exists(F.zip_with("ap", "bp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), lambda d: d <= radius)
         return pairs.join(a, "a").join(b, "b").filter((F.least("an", "bn") >= least * F.greatest("an", "bn")) & close).select("a", "b")
 
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) for x, y in zip(a, b, strict=True)], dtype=bool)
-
     def links(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
         b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-        return pairs.join(a, "a").join(b, "b").filter(alike("sa", "sb")).select("a", "b")
+        both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+        return both.filter(F.col("common") >= least * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
     labels, left, open_pairs = rounds(prints.select(F.col("root").alias("key"), "node"), closest, links)
     if open_pairs:
-        labels, _ = merged(labels, written(links(written(_outside(left.join(short, "node"), radius, least, bucket_rows), "pairs")), "links"))
+        rows = left.join(sets.select("node", F.array(*names).alias("prints"), "shingles"), "node")
+        found = outside_links(rows, lambda common, n, own: common >= least * (n + own - common), lambda a, b: (np.bitwise_count(a ^ b) <= radius).any(axis=1))
+        labels, _ = merged(labels, written(found, "links"))
     return labels.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
-def _outside(rows: DataFrame, radius: int, least: float, bucket_rows: int) -> DataFrame:
-    """Close pairs of different groups; ``rows`` has ``key``, ``node``, ``root``, ``n`` and ``prints``.
-
-    In a pair of different groups one isn't in the largest: such rows are dealt in blocks, and every row of the component is in a
-    cell with each of these blocks. A component that is one large group with few texts outside is copied once.
-    """
-    counts = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
-    tall = counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.sum("c").alias("whole"), (F.sum("c") - F.max("c")).alias("others"))
-    known = rows.join(tall, "key").withColumn("blocks", F.ceil(F.col("whole") / F.lit(8 * bucket_rows)).cast("int")).withColumn("turns", F.greatest(F.lit(1), F.ceil(F.col("others") / F.lit(bucket_rows))).cast("int"))
-    asks = known.filter("root <> most").withColumns({"turn": F.pmod(F.xxhash64("node"), F.col("turns")).cast("int"), "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "asks": F.lit(True)})
-    told = known.withColumns({"block": F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"), "turn": F.explode(F.sequence(F.lit(0), F.col("turns") - 1)), "asks": F.lit(False)})
-    names = ["key", "turn", "block", "asks", "node", "root", "n", "prints"]
-    both = asks.select(*names).unionByName(told.select(*names))
-    cell = ["key", "turn", "block"]
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, run in _runs(batches, cell):
-            node, root, n = (part.column(c).to_numpy() for c in ("node", "root", "n"))
-            ask = part.column("asks").to_numpy()
-            flat = part.column("prints").combine_chunks().flatten().to_numpy().view(np.uint64)
-            bits, out = flat.reshape(part.num_rows, -1), []
-            starts = np.append(np.flatnonzero(np.diff(run, prepend=-1)), len(run))
-            for i in np.flatnonzero(ask).tolist():
-                one = slice(int(starts[run[i]]), int(starts[run[i] + 1]))
-                fits = ~ask[one] & (root[one] != root[i]) & (np.minimum(n[one], n[i]) >= least * np.maximum(n[one], n[i]))
-                at = np.flatnonzero(fits) + one.start
-                at = at[(np.bitwise_count(bits[at] ^ bits[i]) <= radius).any(axis=1)]
-                if len(at):
-                    out.append(np.stack([np.minimum(node[at], node[i]), np.maximum(node[at], node[i])]))
-            found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
-
-    return both.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(compared, "a long, b long").distinct()
-
-
 def near_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = 4, least: float = 0.8, shingle: int = 5, n_prints: int = PRINTS, seed: int = 42, bucket_rows: int = 2048, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Of each distinct text: its SHA-256 ``digest``, the ``least`` id that has it, and ``root``, equal in a group of near duplicates.
 
@@ -566,28 +528,30 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         for batch in slices(batches, "text"):
             offsets, h = _word_hashes(batch.column("text"))
             found, counts = _run_hashes(h, offsets, shingle)
-            sets = [np.unique(x).tobytes() for x in np.split(found, np.cumsum(counts)[:-1])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.binary())], names=[*batch.schema.names[:-1], "shingles"])
+            flat, counts = distinct_hashes(found, counts)
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), flat.view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*batch.schema.names[:-1], "shingles"])
 
     members = written(nodes.join(roots, "node").select("digest", "least", "node", "root", *names), "members")
     once = body.join(members, (body["digest"] == members["digest"]) & body["least"].eqNullSafe(members["least"])).select("root", "node", *names, "text").dropDuplicates(["node"])
     kinds_ddl = ", ".join(f"{x} long" for x in names)
-    sets = written(once.mapInArrow(shingled, f"root long, node long, {kinds_ddl}, shingles binary"), "shingles")
-    sizes = written(sets.groupBy("root").agg(F.sum(F.octet_length("shingles") + F.lit(64 + 8 * n_prints)).alias("n")), "sizes")
+    sets = written(once.mapInArrow(shingled, f"root long, node long, {kinds_ddl}, shingles array<long>"), "shingles")
+    sizes = written(sets.groupBy("root").agg(F.sum(8 * F.size("shingles") + F.lit(64 + 8 * n_prints)).alias("n")), "sizes")
     large = sizes.filter(F.col("n") > block_bytes).select("root")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, run in _runs(batches, ["root"]):
             ids = part.column("node").to_numpy()
             prints = np.stack([part.column(x).to_numpy().view(np.uint64) for x in names], axis=1)
-            found = [np.frombuffer(x, np.uint64) for x in part.column("shingles").to_pylist()]
+            lists = part.column("shingles").combine_chunks()
+            found = np.split(lists.flatten().to_numpy(), np.cumsum(np.diff(lists.offsets.to_numpy()))[:-1])
             a, b = _verified(run, prints, found, radius, least)
             yield pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], names=["a", "b"])
 
     small = sets.join(large, "root", "left_anti")
     sure = small.repartition("root").sortWithinPartitions("root", "node").mapInArrow(compared, "a long, b long")
     if not large.isEmpty():
-        sure = sure.unionByName(_large_groups(written(sets.join(large, "root"), "large"), names, radius, least, bucket_rows))
+        sure = sure.unionByName(_large_groups(written(sets.join(large, "root"), "large"), names, radius, least))
     groups = connected_components(sure).select("node", F.col("root").alias("_root"))
     return nodes.join(groups, "node", "left").select("digest", "least", F.coalesce("_root", "node").alias("root"))
 
