@@ -40,3 +40,9 @@ def is_file(spark: SparkSession, path: str) -> bool:
     """Whether something lies at ``path``, in whatever file system."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.exists(at) and system.getFileStatus(at).isDirectory()

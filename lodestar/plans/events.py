@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.checkpoints import is_folder, stream_dir
 from lodestar.plans.registry import query
 from lodestar.sources.drive import table
 from lodestar.streaming import events as op
+from lodestar.streaming import timers
 
 #: Event types of the table as those of the outbox.
 KINDS = {"signup": "file.created.v1", "purchase": "object.ready.v1", "click": "object.verify_requested.v1", "view": "share.imported.v1", "error": "object.gc_requested.v1"}
@@ -46,17 +48,69 @@ def event_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.deduplicated(op.fanned_out(events.unionByName(events))).select(FANOUT)
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a stream: a file or a folder of files."""
+    schema = table(spark, sf_dir, "events").schema
+    if is_folder(spark, f"{sf_dir}/events.parquet"):
+        return op.stream_of(spark, f"{sf_dir}/events.parquet", schema)
+    return op.stream_of(spark, sf_dir, schema, pattern="events.parquet")
+
+
 @query("stream_fanout", FANOUT_SQL)
 def stream_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a stream of the event file, to its end; tasks are deduplicated in state."""
-    from lodestar.functions.checkpoints import stream_dir
-
     at = stream_dir(spark, "fanout")
-    source = op.stream_of(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "events").schema)
-    op.run_to_end(op.stream_tasks(renamed(source)).select(FANOUT), at)
+    op.run_to_end(op.stream_tasks(renamed(event_stream(spark, sf_dir))).select(FANOUT), at)
     return spark.read.parquet(f"{at}/rows").withColumn("available_at", F.col("available_at").cast("timestamp_ntz"))
 
 
+@query("stream_delayed", f"SELECT task_id, available_at, queue FROM ({FANOUT_SQL}) WHERE available_at <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
+def stream_delayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks of a stream as they become available by the watermark, a day behind the last event; those for later wait on."""
+    at = stream_dir(spark, "delayed")
+    tasks = op.stream_tasks(renamed(event_stream(spark, sf_dir)), horizon="1 day").select("ts", "task_id", "queue", "available_at")
+    op.run_to_end(timers.delayed(tasks), at)
+    rows = spark.read.parquet(f"{at}/rows")
+    return rows.select("task_id", F.col("available_at").cast("timestamp_ntz").alias("available_at"), F.get_json_object("payload", "$.queue").alias("queue"))
+
+
+@query(
+    "stream_expiry",
+    """WITH s AS (SELECT o_orderkey AS session_id, o_orderdate AS ts, o_orderdate + INTERVAL 1 DAY AS due,
+                CASE WHEN o_orderstatus = 'F' THEN o_orderdate + CASE WHEN o_orderkey % 5 = 0 THEN INTERVAL 30 HOUR ELSE INTERVAL 1 HOUR END END AS done FROM orders)
+       SELECT session_id, due AS expired_at FROM s WHERE NOT coalesce(done <= due, false) AND due <= (SELECT greatest(max(ts), max(done)) - INTERVAL 1 DAY FROM s)""",
+)
+def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a stream that aren't completed within a day: filled orders are, an hour later, or thirty hours later, which is too late."""
+    at = stream_dir(spark, "expiry")
+    schema = table(spark, sf_dir, "orders").schema
+    folder = is_folder(spark, f"{sf_dir}/orders.parquet")
+    orders = op.stream_of(spark, f"{sf_dir}/orders.parquet", schema) if folder else op.stream_of(spark, sf_dir, schema, pattern="orders.parquet")
+    start = F.col("o_orderdate").cast("timestamp")
+    done = start + F.when(F.col("o_orderkey") % 5 == 0, F.expr("INTERVAL 30 HOURS")).otherwise(F.expr("INTERVAL 1 HOUR"))
+    one = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.alias("ts"))
+    steps = F.when(F.col("o_orderstatus") == "F", F.array(one("created", start), one("completed", done))).otherwise(F.array(one("created", start)))
+    rows = orders.select(F.col("o_orderkey").alias("session_id"), (start + F.expr("INTERVAL 1 DAY")).alias("expires_at"), F.explode(steps).alias("e")).select("session_id", "expires_at", "e.kind", "e.ts")
+    op.run_to_end(timers.expiries(rows.withWatermark("ts", "1 day")), at)
+    return spark.read.parquet(f"{at}/rows").select(F.col("session_id").cast("long").alias("session_id"), F.col("expired_at").cast("timestamp_ntz").alias("expired_at"))
+
+
+LIMITS = {"view": 2, "click": 1, "purchase": 0}
+
+
+@query(
+    "stream_limits",
+    f"""SELECT event_id, event_type AS scope, user_id, date_trunc('day', ts)::TIMESTAMP AS window_start,
+        coalesce(row_number() OVER (PARTITION BY event_type, user_id, date_trunc('day', ts) ORDER BY ts, event_id) <= CASE event_type WHEN 'view' THEN {LIMITS['view']} WHEN 'click' THEN {LIMITS['click']} END, true) AS allowed FROM events""",
+)
+def stream_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests limited by scope, user and day; the event's type is the scope, and some scopes have no limit."""
+    at = stream_dir(spark, "limits")
+    requests = event_stream(spark, sf_dir).select("event_id", F.col("event_type").alias("scope"), "user_id", "ts")
+    op.run_to_end(timers.stream_limited(requests, LIMITS, "day", "1 hour"), at, batches=False)
+    return spark.read.parquet(f"{at}/rows").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 COUNT_SQL = "SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS n FROM events GROUP BY ALL"
 
 
@@ -67,17 +121,15 @@ def request_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_windows", COUNT_SQL)
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same counts from a stream; windows are emitted once the watermark has passed, so a closing event far ahead is added."""
-    from lodestar.functions.checkpoints import stream_dir
-
+    """The same counts from a stream; windows are emitted once the watermark has passed, so a second run, after the first has ended, brings a closing event far ahead."""
     at = stream_dir(spark, "windows")
-    events = table(spark, sf_dir, "events")
-    closing = spark.range(1).select(F.lit(None).cast("long").alias("user_id"), F.expr("TIMESTAMP '9000-01-01'").alias("ts"))
-    # files are read in the order of their times, so the closing one comes last
-    events.select("user_id", F.col("ts").cast("timestamp").alias("ts")).write.parquet(f"{at}/source/part=0")
-    closing.coalesce(1).write.parquet(f"{at}/source/part=1")
-    source = spark.readStream.schema("user_id long, ts timestamp").option("maxFilesPerTrigger", 64).option("latestFirst", "false").parquet(f"{at}/source/part=*")
-    op.run_to_end(op.window_counts(source.withWatermark("ts", "400 days")), at)
+    spark.createDataFrame([], "user_id long, ts timestamp").write.parquet(f"{at}/closing")
+    events = event_stream(spark, sf_dir).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    closing = spark.readStream.schema("user_id long, ts timestamp").parquet(f"{at}/closing")
+    counts = op.window_counts(events.unionByName(closing).withWatermark("ts", "400 days"))
+    op.run_to_end(counts, at)
+    spark.range(1).select(F.lit(None).cast("long").alias("user_id"), F.expr("TIMESTAMP '9000-01-01'").alias("ts")).write.mode("append").parquet(f"{at}/closing")
+    op.run_to_end(counts, at)
     rows = spark.read.parquet(f"{at}/rows").filter("user_id IS NOT NULL")
     return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 

@@ -20,6 +20,7 @@ ROUTES = (
     ("ai.reprocess_requested.v1", "ai.reprocess_requested.v1", "ai", True),
 )
 GC_DELAY, MOST_ATTEMPTS = "INTERVAL 24 HOURS", 8
+STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 WINDOW_SECONDS, LEAST_REQUESTS, FAILURE_RATE, OPEN_SECONDS, PROBES = 10, 20, 0.5, 5, 3
 
 
@@ -167,10 +168,12 @@ def traced(payload: Column, trace: Column) -> Column:
     return F.when(known.isNotNull() & added.isNotNull(), F.to_json(merged)).otherwise(payload)
 
 
-def stream_of(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -> DataFrame:
-    """A stream of the event files at a path (as a pattern, since a stream's path can't be one file); the offsets of the query's checkpoint stand for the outbox's row locks."""
-    path = path.rstrip("/")
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
+def stream_of(spark: SparkSession, folder: str, schema, files_per_trigger: int = 8, pattern: str | None = None) -> DataFrame:
+    """A stream of the event files in a folder, whose names may have to match ``pattern``; the offsets of the query's checkpoint stand for the outbox's row locks."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    return reader.parquet(folder)
 
 
 def stream_tasks(events: DataFrame, ai_enabled: bool = True, horizon: str = "60 days") -> DataFrame:
@@ -179,9 +182,19 @@ def stream_tasks(events: DataFrame, ai_enabled: bool = True, horizon: str = "60
     return fanned_out(timed, ai_enabled).dropDuplicatesWithinWatermark(["task_id"])
 
 
-def run_to_end(stream: DataFrame, at: str, mode: str = "append") -> None:
-    """Runs a streaming query over what is there now, into Parquet under ``at``."""
-    query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").option("path", f"{at}/rows").trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, at: str, mode: str = "append", batches: bool = True) -> None:
+    """Runs a streaming query over what is there now, into Parquet under ``at``. Its state is kept in RocksDB.
+
+    Without ``batches`` it is one batch: state that lives by the clock asks for empty batches for ever, so such a query wouldn't end by itself.
+    """
+    conf = stream.sparkSession.conf
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, STATE_PROVIDER)
+    try:
+        query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").option("path", f"{at}/rows").trigger(**({"availableNow": True} if batches else {"once": True})).start()
+    finally:
+        conf.set(name, before)
     query.awaitTermination()
     if query.exception():
         raise query.exception()
