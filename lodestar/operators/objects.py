@@ -108,3 +108,9 @@ def cascaded(children: DataFrame, kept: DataFrame, key: str) -> DataFrame:
 def latest_by(rows: DataFrame, keys: list[str], value: Column, order: Column) -> DataFrame:
     """``value`` of the row with the largest ``order`` of each key."""
     return rows.groupBy(*keys).agg(F.max_by(value, order).alias("latest"))
+
+
+def ready_files(entries: DataFrame, stored: DataFrame) -> DataFrame:
+    """Live entries whose object is ``ready``; an object is known by ``sha256`` and ``size_bytes`` together."""
+    ready = stored.filter("status = 'ready'").select(F.col("sha256").alias("object_id"), "size_bytes")
+    return entries.filter(~F.col("deleted")).join(ready, ["object_id", "size_bytes"]).withColumn("sha256", F.col("object_id"))

@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from lodestar.plans import accounts, events, files, retrieval, texts, uploads  # noqa: E402, F401
+from lodestar.plans import accounts, events, files, indexing, retrieval, texts, uploads  # noqa: E402, F401

@@ -13,9 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct content: ``object_id`` (its hash), ``size_bytes``, ``text``; the copies are grouped by hash alone."""
-    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.sha2("text", 256).alias("object_id"), "text")
-    return docs.groupBy("object_id").agg(F.any_value("text").alias("text")).withColumn("size_bytes", F.octet_length("text").cast("long"))
+    """Distinct content: ``object_id`` (its hash), ``size_bytes``, ``text``. Hashes are grouped first, so each text is sent once, by the smallest id that has it."""
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("object_id"), "text")
+    heads = docs.groupBy("object_id").agg(F.min("doc_id").alias("doc_id"))
+    return docs.join(heads, ["object_id", "doc_id"], "left_semi").dropDuplicates(["object_id"]).select("object_id", "text", F.octet_length("text").cast("long").alias("size_bytes"))
+
+
+def stored_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects by ``sha256`` and ``size_bytes``, with ``status``: some are on their way out. No text is shuffled."""
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    keyed = docs.select(F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size_bytes"), "doc_id")
+    turn = F.min("doc_id") % 7
+    return keyed.groupBy("sha256", "size_bytes").agg(F.when(turn == 0, "deleting").when(turn == 1, "deleted").otherwise("ready").alias("status"))
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
