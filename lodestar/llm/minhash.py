@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import free_names, slices, written
+from lodestar.llm.common import free_names, release, slices, written
 from lodestar.llm.rounds import core_sizes, merged, outside_links, rounds
 from lodestar.llm.simhash import _P1, _P4, _mixed, _run_hashes, _runs, _word_hashes, distinct_hashes
 
@@ -236,9 +236,12 @@ def minhash_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     head = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("head")
     nodes = rows.filter("n > 0").groupBy("digest").agg(head, F.max("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    release(docs.sparkSession)
     state = written(buckets(nodes, halves), "buckets")
+    release(docs.sparkSession)
     members = written(state.select("node").distinct(), "members")
     sets = written(_sets(docs, nodes.select("node", "head").join(members, "node"), id_column, text, shingle), "sets")
+    release(docs.sparkSession)
     search = _Search(nodes.join(members, "node"), sets, least)
     labels, left, open_pairs = rounds(state, search.likely, search.links, search.focused)
     if open_pairs:

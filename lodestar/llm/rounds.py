@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import written
+from lodestar.llm.common import release, written
 from lodestar.llm.components import connected_components
 
 #: Bytes of shingles that a task compares (asking texts) with those of a block (all texts).
@@ -71,8 +71,11 @@ def rounds(state: DataFrame, likely: Callable[[DataFrame], DataFrame], links: Ca
     state = state.select("key", "node").withColumn("root", F.col("node"))
     while True:
         pairs = written(likely(centred(state, number, 1 if number == 0 else 3)), "pairs")
+        release(pairs.sparkSession)
         labels, joined = merged(labels, written(links(pairs), "links"))
+        release(pairs.sparkSession)
         state, size, left = still_open(state, labels)
+        release(pairs.sparkSession)
         number += 1
         if not left:
             return labels, state, left
