@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -124,7 +125,7 @@ class SearchIndex:
 
     def table(self, name: str) -> DataFrame:
         """A table over all generations."""
-        return self.spark.read.parquet(*[f"{self.at}/g{g}/{name}" for g in range(self._generations())])
+        return reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.at}/g{g}/{name}") for g in range(self._generations())])
 
     def add(self, rows: DataFrame, segment_rows: int = SEGMENT_ROWS) -> None:
         """Writes chunks (``index_rows``) as the next generation; older chunks of their objects are hidden from then on.
