@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +92,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def mapped_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: list[T.StructField]) -> DataFrame:
+    """``mapInArrow`` of a function that adds columns, whatever the names of the others: those with a dot have another name inside it."""
+    outside = {c: safe for c, safe in zip(df.columns, free_names(df, *["c" for _ in df.columns]), strict=True) if "." in c}
+    inner = df.toDF(*[outside.get(c, c) for c in df.columns]) if outside else df
+    out = inner.mapInArrow(f, T.StructType([*inner.schema.fields, *added]))
+    return out.toDF(*df.columns, *[x.name for x in added]) if outside else out
+
+
 def sized(text: Column | str) -> Column:
     """UTF-8 bytes of a text, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

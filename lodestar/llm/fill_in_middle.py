@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import slices
+from lodestar.llm.common import mapped_rows, slices
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 SENTINELS = (PREFIX, SUFFIX, MIDDLE)
@@ -52,10 +52,14 @@ def _leaves(text: str, unit: str) -> list[Rope]:
 
 def rope(text: str, unit: str = "line") -> Rope:
     """The balanced rope of a text; a line longer than a leaf is one leaf."""
-    level = _leaves(text, unit) or [Rope()]
-    while len(level) > 1:
-        level = [Rope(left=level[i], right=level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0]
+    leaves = _leaves(text, unit)
+    return _built(leaves, 0, len(leaves)) if leaves else Rope()
+
+
+def _built(leaves: list[Rope], a: int, b: int) -> Rope:
+    if b - a == 1:
+        return leaves[a]
+    return Rope(left=_built(leaves, a, (a + b) // 2), right=_built(leaves, (a + b) // 2, b))
 
 
 def concat(a: Rope, b: Rope) -> Rope:
@@ -171,7 +175,6 @@ def fill_in_middle(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     added = [("fim_output", T.StringType()), ("form", T.StringType()), ("n", T.LongType()), ("prefix_chars", T.LongType()), ("middle_chars", T.LongType())]
     names = {x.lower() for x, _ in added}
     kept = docs.select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c.lower() not in names])
-    schema = T.StructType([*kept.schema.fields, *[T.StructField(*x) for x in added]])
 
     def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
@@ -190,7 +193,7 @@ def fill_in_middle(docs: DataFrame, id_column: str = "doc_id", text: str = "text
             arrays = [pa.array(x, pa.string() if isinstance(t, T.StringType) else pa.int64()) for x, (_, t) in zip(out, added, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *[x for x, _ in added]])
 
-    return kept.mapInArrow(turned, schema)
+    return mapped_rows(kept, turned, [T.StructField(*x) for x in added])
 
 
 def _borderless(x: str) -> bool:
@@ -200,7 +203,6 @@ def _borderless(x: str) -> bool:
 def fim_restored(docs: DataFrame, sentinels: tuple[str, str, str] = SENTINELS) -> DataFrame:
     """``docs`` with ``restored_text``, rebuilt from ``fim_output`` and ``form`` alone; null where either is null."""
     kept = docs.drop("restored_text")
-    schema = T.StructType([*kept.schema.fields, T.StructField("restored_text", T.StringType())])
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "fim_output"):
@@ -208,7 +210,7 @@ def fim_restored(docs: DataFrame, sentinels: tuple[str, str, str] = SENTINELS) -
             texts = [None if x is None or form is None else restored(x, form, sentinels) for x, form in pairs]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "restored_text"])
 
-    return kept.mapInArrow(back, schema)
+    return mapped_rows(kept, back, [T.StructField("restored_text", T.StringType())])
 
 
 ORACLE = r"""
