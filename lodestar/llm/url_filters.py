@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import free_names
+
 
 def _located(url: Column) -> tuple[Column, Column]:
     """Lower-case host without port or credentials, and the path with its leading slash."""
     rest = F.regexp_replace(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     rest = F.regexp_replace(rest, r"[?#].*$", "")
-    host = F.lower(F.regexp_replace(F.regexp_extract(rest, r"^([^/]*)", 1), r"^.*@|:\d*$|\.$", ""))
+    host = F.lower(F.regexp_replace(F.regexp_extract(rest, r"^([^/]*)", 1), r"^.*@|\.?:\d*$|\.$", ""))
     return host, F.regexp_extract(rest, r"^[^/]*(/.*)$", 1)
 
 
@@ -64,19 +66,20 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetche
     key matches at most once. Columns of these names in ``captures`` are replaced.
     """
     kept = captures.drop("blocked", "pattern", "valid_from")
-    probes = kept.select(F.col(url).alias("_url"), F.col(fetched).alias("_at")).filter("_url IS NOT NULL AND _at IS NOT NULL").distinct()
-    keys = probes.withColumn("_key", F.explode(url_keys(F.col("_url"))))
+    at_url, at_time, at_key, at_best = free_names(kept, "_url", "_at", "_key", "_best")
+    probes = kept.select(F.col(url).alias(at_url), F.col(fetched).alias(at_time)).filter(F.col(at_url).isNotNull() & F.col(at_time).isNotNull()).distinct()
+    keys = probes.withColumn(at_key, F.explode(url_keys(F.col(at_url))))
     spans = list_intervals(entries)
-    active = (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
-    hits = keys.join(spans, (keys["_key"] == spans["pattern"]) & active)
+    active = (F.col(at_time) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(at_time) < F.col("valid_to")))
+    hits = keys.join(spans, (keys[at_key] == spans["pattern"]) & active)
     best = F.max_by(F.struct("action", "pattern", "valid_from"), F.struct(F.length("pattern"), "pattern"))
-    decided = hits.groupBy("_url", "_at").agg(best.alias("_best"))
-    joined = kept.join(decided, (kept[url] == decided["_url"]) & (kept[fetched] == decided["_at"]), "left")
+    decided = hits.groupBy(at_url, at_time).agg(best.alias(at_best))
+    joined = kept.join(decided, (kept[url] == decided[at_url]) & (kept[fetched] == decided[at_time]), "left")
     return joined.select(
-        *kept.columns,
-        F.coalesce(F.col("_best.action") == "block", F.lit(False)).alias("blocked"),
-        F.col("_best.pattern").alias("pattern"),
-        F.col("_best.valid_from").alias("valid_from"),
+        *[kept["`" + c.replace("`", "``") + "`"] for c in kept.columns],
+        F.coalesce(F.col(f"{at_best}.action") == "block", F.lit(False)).alias("blocked"),
+        F.col(f"{at_best}.pattern").alias("pattern"),
+        F.col(f"{at_best}.valid_from").alias("valid_from"),
     )
 
 

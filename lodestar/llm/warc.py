@@ -62,7 +62,7 @@ def write_warc(pages: DataFrame, at: str | None = None, id_column: str = "page_i
     """Writes a record per row of ``pages`` to files under the URI ``at``; returns the files (path, bytes, records).
 
     Of rows with equal payloads (by SHA-1; null is empty), those with the largest id are
-    responses and the others revisits of it; payloads that have no id at all are responses. Ids,
+    responses and the others, those without an id too, revisits of it; payloads that have no id at all are responses. Ids,
     digests and verdicts are joined without the payloads, which are shuffled once, by
     the distinct id. A task writes one file named after its attempt; the returned list,
     itself a table in the shared folder, has only files of attempts that succeeded.
@@ -74,9 +74,9 @@ def write_warc(pages: DataFrame, at: str | None = None, id_column: str = "page_i
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("body"))
     ids = written(pages.select(F.col(id_column).cast("long").alias("page_id"), digest.alias("digest")).distinct(), "digests")
     newest = ids.groupBy("digest").agg(F.max("page_id").alias("newest"))
-    revisits = ids.join(newest, "digest").filter("page_id < newest").select("page_id", F.col("digest").alias("_digest"), "newest")
+    revisits = ids.join(newest, "digest").filter("newest IS NOT NULL AND (page_id IS NULL OR page_id < newest)").select("page_id", F.col("digest").alias("_digest"), "newest")
     keyed = rows.withColumn("digest", F.sha1("body"))
-    known = (keyed["page_id"] == revisits["page_id"]) & (keyed["digest"] == revisits["_digest"])
+    known = keyed["page_id"].eqNullSafe(revisits["page_id"]) & (keyed["digest"] == revisits["_digest"])
     joined = keyed.join(revisits, known, "left").select(keyed["page_id"], "url", "body", "digest", "newest")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

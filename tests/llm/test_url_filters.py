@@ -49,3 +49,15 @@ def test_paths_keep_their_case(spark):
     urls = ["http://A.com/News/x", "http://a.com/news/x", "https://b.com:8080/x?y", "https://b.com/X"]
     captures = spark.createDataFrame([(i, u, d) for i, u in enumerate(urls)], "id int, url string, fetched_at date")
     assert [r.id for r in url_filter(captures, entries).filter("blocked").orderBy("id").collect()] == [0, 2]
+
+
+def test_dot_before_a_port_and_clashing_names(spark):
+    import datetime
+
+    day = datetime.datetime(2024, 1, 1)
+    entries = spark.createDataFrame([("a.com", day, "block")], "pattern string, effective timestamp, action string")
+    rows = [("http://a.com.:80/x", day, 1), ("http://a.com:/x", day, 2), ("http://b.com", day, 3), (None, day, 4)]
+    captures = spark.createDataFrame(rows, "url string, fetched_at timestamp, _url int").selectExpr("*", "_url AS _at", "_url AS _key", "_url AS _best", "_url AS valid_to", "_url AS action", "_url AS `x.y`")
+    got = url_filter(captures, entries)
+    assert got.columns == [*captures.columns, "blocked", "pattern", "valid_from"]
+    assert sorted((r["_url"], r["_at"], r["_best"], r["x.y"], r.blocked) for r in got.collect()) == [(1, 1, 1, 1, True), (2, 2, 2, 2, True), (3, 3, 3, 3, False), (4, 4, 4, 4, False)]
