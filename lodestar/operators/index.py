@@ -18,7 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.checkpoints import is_file
@@ -236,9 +236,8 @@ class SearchIndex:
 
         return posted.repartition("block").sortWithinPartitions("block", "place").mapInArrow(summed, "chunk_id long, product double")
 
-    def _read(self, best: DataFrame) -> DataFrame:
+    def _read(self, rows: list[Row]) -> DataFrame:
         """Candidates with their ``content``: a few hundred rows at most, whose texts are found by number."""
-        rows = best.collect()
         schema = "file_id long, name string, ordinal int, chunk_id long, score double"
         held = self.spark.createDataFrame([tuple(r[c] for c in ("file_id", "name", "ordinal", "chunk_id", "score")) for r in rows], schema)
         numbers = sorted({r.chunk_id for r in rows})
@@ -254,7 +253,7 @@ class SearchIndex:
         """As ``search.fulltext_candidates``, from postings."""
         wanted = wanted.checked()
         hits = self.keys().join(self.fulltext_scores(wanted.query), "chunk_id")
-        return self._read(self._best(hits, entries, wanted))
+        return self._read(self._best(hits, entries, wanted).collect())
 
     def semantic_candidates(self, entries: DataFrame, wanted: SearchInput) -> DataFrame:
         """As ``search.semantic_candidates``, exact, from the postings of the query's places.
@@ -269,15 +268,11 @@ class SearchIndex:
         products = self.vector_products(wanted.query)
         score: Column = F.round(F.col("product") / F.col("norm"), 9)
         above = keys.join(products.filter("product > 0"), "chunk_id").withColumn("score", score).filter("score > 0")
-        best = self._best(above, entries, wanted).cache()
-        try:
-            if best.count() < wanted.candidates:
-                whole = keys.join(products, "chunk_id", "left").withColumn("score", F.coalesce(score, F.lit(0.0)))
-                return self._read(self._best(whole, entries, wanted))
-            return self._read(best)
-        finally:
-            best.unpersist()
-
+        best = self._best(above, entries, wanted).collect()
+        if len(best) < wanted.candidates:
+            whole = keys.join(products, "chunk_id", "left").withColumn("score", F.coalesce(score, F.lit(0.0)))
+            best = self._best(whole, entries, wanted).collect()
+        return self._read(best)
 
     def search(self, entries: DataFrame, wanted: SearchInput) -> DataFrame:
         """As ``search.search``, with this index in place of the chunks."""

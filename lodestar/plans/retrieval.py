@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions.checkpoints import shared_dir
+from lodestar.functions.checkpoints import is_file, shared_dir
 from lodestar.functions.vectors import trigram_similarity
 from lodestar.operators import rag, search, tree
 from lodestar.operators.documents import chunked, index_rows
@@ -37,6 +37,14 @@ def search_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
     return index
 
 
+def stored_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries without texts, in the shared folder under a key of the tables' files, as the hashes of all contents are not a query's work."""
+    at = f"{shared_dir(spark)}/files-{content_key(spark, f'{sf_dir}/documents.parquet', f'{sf_dir}/part.parquet')}"
+    if not is_file(spark, f"{at}/_SUCCESS"):
+        entries(spark, sf_dir).write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
+
+
 def indexed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks of the index with their terms and vectors."""
     return search_index(spark, sf_dir).table("chunks").drop("chunk_id", "segment", "generation")
@@ -152,7 +160,7 @@ def fulltext_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("postings_search", f"WITH {FULL_CANDIDATES} SELECT {SHOWN} FROM full_c")
 def postings_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of ``fulltext_search`` from the postings of the query's three terms."""
-    return shown(search_index(spark, sf_dir).fulltext_candidates(entries(spark, sf_dir), WANTED))
+    return shown(search_index(spark, sf_dir).fulltext_candidates(stored_entries(spark, sf_dir), WANTED))
 
 
 @query("semantic_search", f"WITH {FULL_CANDIDATES}, {SEMANTIC_CANDIDATES} SELECT {SHOWN} FROM semantic_c")
@@ -163,7 +171,7 @@ def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("semantic_postings", f"WITH {FULL_CANDIDATES}, {SEMANTIC_CANDIDATES} SELECT {SHOWN} FROM semantic_c")
 def semantic_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of ``semantic_search`` from the postings of the places where the query's vector isn't zero."""
-    return shown(search_index(spark, sf_dir).semantic_candidates(entries(spark, sf_dir), WANTED))
+    return shown(search_index(spark, sf_dir).semantic_candidates(stored_entries(spark, sf_dir), WANTED))
 
 
 @query("semantic_versions", f"WITH {FULL_CANDIDATES}, {SEMANTIC_CANDIDATES} SELECT {SHOWN} FROM semantic_c WHERE false UNION ALL SELECT {SHOWN} FROM semantic_c")
@@ -212,14 +220,14 @@ def fused_sql(limit: int) -> str:
 
 @query("rrf_fusion", f"WITH {fused_sql(100)} SELECT file_id, round(score, 6) AS score, place FROM fused")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, index = entries(spark, sf_dir), search_index(spark, sf_dir)
+    files, index = stored_entries(spark, sf_dir), search_index(spark, sf_dir)
     both = search.fused(index.fulltext_candidates(files, WANTED), index.semantic_candidates(files, WANTED), 100)
     return both.select("file_id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
 @query("hybrid_search", f"WITH {fused_sql(20)} SELECT {HITS} FROM fused")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits(search_index(spark, sf_dir).search(entries(spark, sf_dir), WANTED))
+    return hits(search_index(spark, sf_dir).search(stored_entries(spark, sf_dir), WANTED))
 
 
 @query(
@@ -241,7 +249,7 @@ EVIDENCE_SQL = f"""{fused_sql(40)},
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = search.SearchInput(rag.checked_question(TERMS), "hybrid", rag.SEARCH_LIMIT, OWNER)
-    return rag.evidence(search_index(spark, sf_dir).search(entries(spark, sf_dir), wanted))
+    return rag.evidence(search_index(spark, sf_dir).search(stored_entries(spark, sf_dir), wanted))
 
 
 # the search for an answer has a limit of forty files, so 160 candidates in each list
@@ -260,7 +268,7 @@ ALLOWED = tuple(range(1, 200, 4))
 def evidence_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence from fifty chosen files, which are picked after the search."""
     wanted = search.SearchInput(rag.checked_question(TERMS), "hybrid", rag.SEARCH_LIMIT, OWNER)
-    found = rag.evidence(search_index(spark, sf_dir).search(entries(spark, sf_dir), wanted), ALLOWED)
+    found = rag.evidence(search_index(spark, sf_dir).search(stored_entries(spark, sf_dir), wanted), ALLOWED)
     return found.withColumn("n", F.col("n").cast("long"))
 
 
