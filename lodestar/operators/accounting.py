@@ -17,6 +17,14 @@ def usage(entries: DataFrame, quota: int) -> DataFrame:
     return entries.filter(~F.col("deleted")).groupBy("owner_id").agg(used.alias("used_bytes"), F.count("*").alias("files"), F.greatest(F.lit(quota) - used, F.lit(0)).cast("long").alias("free_bytes"))
 
 
+def gauge(entries: DataFrame, sessions: DataFrame, quota: int) -> DataFrame:
+    """Of each owner with files or active sessions (``status``, ``reserved_bytes``): ``used_bytes``, ``reserved_bytes`` and ``free_bytes``, never below 0."""
+    used = entries.filter(~F.col("deleted")).groupBy("owner_id").agg(F.sum("size_bytes").alias("used_bytes"))
+    held = sessions.filter(F.col("status").isin("created", "uploading", "verifying")).groupBy("owner_id").agg(F.sum("reserved_bytes").alias("reserved_bytes"))
+    both = used.join(held, "owner_id", "full").select("owner_id", F.coalesce("used_bytes", F.lit(0)).alias("used_bytes"), F.coalesce("reserved_bytes", F.lit(0)).alias("reserved_bytes"))
+    return both.withColumn("free_bytes", F.greatest(F.lit(quota) - F.col("used_bytes") - F.col("reserved_bytes"), F.lit(0)).cast("long"))
+
+
 def quota_moves(moves: DataFrame, quota: int) -> DataFrame:
     """Moves of owners' quotas (owner_id, move_id, kind, size_bytes) in order: ``accepted``, and ``used_bytes`` and ``reserved_bytes`` after each.
 
@@ -60,6 +68,31 @@ def share_state(shares: DataFrame, now: Column) -> DataFrame:
     return shares.withColumn("state", state)
 
 
+def share_commands(commands: DataFrame, shares: DataFrame, entries: DataFrame) -> DataFrame:
+    """What becomes of commands (command_id, kind, owner_id, file_id, share_id, at, expires_at): ``verdict``, and ``share_id`` of the share that is made or revoked.
+
+    ``create`` is ``not_found`` unless the owner has the file, a ``conflict`` if it would end before it begins, else ``created``. ``revoke`` is
+    ``revoked`` for the owner's own share that is in force, and the first such command of a batch only; else ``not_found``. Other kinds are ``invalid``.
+    """
+    live = entries.filter(~F.col("deleted")).select("owner_id", "file_id").distinct().withColumn("_file", F.lit(True))
+    open_shares = shares.filter("revoked_at IS NULL").select("owner_id", "share_id").distinct().withColumn("_open", F.lit(True))
+    revoking = commands.filter("kind = 'revoke'").groupBy("owner_id", "share_id").agg(F.min_by("command_id", F.struct("at", "command_id")).alias("_first"))
+    seen = commands.join(live, ["owner_id", "file_id"], "left").join(open_shares, ["owner_id", "share_id"], "left").join(revoking, ["owner_id", "share_id"], "left")
+    early = F.coalesce(F.col("expires_at") <= F.col("at"), F.lit(False))
+    created = F.when(F.col("_file").isNull(), "not_found").when(early, "conflict").otherwise("created")
+    revoked = F.when(F.col("_open") & (F.col("_first") == F.col("command_id")), "revoked").otherwise("not_found")
+    verdict = F.when(F.col("kind") == "create", created).when(F.col("kind") == "revoke", revoked).otherwise("invalid")
+    own = F.sha2(F.concat(F.lit("share:"), F.col("command_id").cast("string")), 256)
+    done = seen.withColumn("verdict", verdict)
+    share = F.when(F.col("verdict") == "created", own).when(F.col("verdict") == "revoked", F.col("share_id").cast("string"))
+    return done.select("command_id", "verdict", share.alias("share_id"))
+
+
+def newest_shares(shares: DataFrame, owner_id: int, limit: int = 50) -> DataFrame:
+    """A page of an owner's shares, the newest first."""
+    return shares.filter(F.col("owner_id") == owner_id).orderBy(F.desc("created_at"), F.desc("share_id")).limit(limit)
+
+
 def resolved_shares(shares: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
     """What the holder of a share (share_id, file_id, revoked_at, expires_at) sees: ``state`` and, if it is ``valid``, the file.
 

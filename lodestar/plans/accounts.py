@@ -155,3 +155,43 @@ def processing_lease(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     uses = table(spark, sf_dir, "events").select(F.col("user_id").alias("family_id"), F.pmod("event_id", F.lit(50)).alias("token_id"), F.col("ts").alias("used_at"), F.col("event_id").alias("use_id"))
     return op.token_families(uses)
+
+
+@query(
+    "quota_gauge",
+    f"""WITH e AS (SELECT owner_id, sum(size_bytes)::BIGINT AS used_bytes FROM ({ENTRIES_SQL}) WHERE NOT deleted GROUP BY owner_id),
+        s AS (SELECT o_custkey % 6 AS owner_id, sum(floor(o_totalprice))::BIGINT AS reserved_bytes FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)
+        SELECT owner_id, coalesce(used_bytes, 0) AS used_bytes, coalesce(reserved_bytes, 0) AS reserved_bytes, greatest(100000000 - coalesce(used_bytes, 0) - coalesce(reserved_bytes, 0), 0)::BIGINT AS free_bytes FROM e FULL JOIN s USING (owner_id)""",
+)
+def quota_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open orders as sessions that hold their bytes; two owners have no files."""
+    status = F.when(F.col("o_orderstatus") == "F", "completed").otherwise("uploading")
+    sessions = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 6).alias("owner_id"), status.alias("status"), F.floor("o_totalprice").cast("long").alias("reserved_bytes"))
+    return op.gauge(entries(spark, sf_dir), sessions, 100_000_000)
+
+
+@query(
+    "share_changes",
+    f"""WITH e AS (SELECT DISTINCT owner_id, file_id FROM ({ENTRIES_SQL}) WHERE NOT deleted),
+        c AS (SELECT event_id AS command_id, CASE event_type WHEN 'view' THEN 'create' WHEN 'click' THEN 'revoke' ELSE event_type END AS kind, user_id % 4 AS owner_id, user_id AS file_id, event_id % 50 AS share_id, ts AS moment,
+                CASE WHEN event_id % 3 > 0 THEN ts + INTERVAL 1 DAY * (event_id % 5 - 1) END AS expires_at FROM events),
+        r AS (SELECT owner_id, share_id, arg_min(command_id, struct_pack(a := moment, c := command_id)) AS first FROM c WHERE kind = 'revoke' GROUP BY ALL),
+        v AS (SELECT c.*, CASE kind WHEN 'create' THEN CASE WHEN e.file_id IS NULL THEN 'not_found' WHEN coalesce(expires_at <= moment, false) THEN 'conflict' ELSE 'created' END
+                WHEN 'revoke' THEN CASE WHEN c.share_id % 4 = c.owner_id AND c.share_id % 3 <> 0 AND first = command_id THEN 'revoked' ELSE 'not_found' END ELSE 'invalid' END AS verdict
+              FROM c LEFT JOIN e ON e.owner_id = c.owner_id AND e.file_id = c.file_id LEFT JOIN r ON r.owner_id = c.owner_id AND r.share_id = c.share_id)
+        SELECT command_id, verdict, CASE verdict WHEN 'created' THEN sha256('share:' || command_id) WHEN 'revoked' THEN share_id::VARCHAR END AS share_id FROM v""",
+)
+def share_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as commands on the shares 0 to 49, a third of which were revoked before; users share the file with their number."""
+    number, ts = F.col("event_id"), F.col("ts")
+    kind = F.when(F.col("event_type") == "view", "create").when(F.col("event_type") == "click", "revoke").otherwise(F.col("event_type"))
+    ends = F.when(number % 3 > 0, ts + F.make_dt_interval((number % 5 - 1).cast("int")))
+    commands = table(spark, sf_dir, "events").select(number.alias("command_id"), kind.alias("kind"), F.pmod("user_id", F.lit(4)).alias("owner_id"), F.col("user_id").alias("file_id"), (number % 50).alias("share_id"), ts.alias("at"), ends.alias("expires_at"))
+    shares = commands.select("share_id").distinct().select("share_id", (F.col("share_id") % 4).alias("owner_id"), F.when(F.col("share_id") % 3 == 0, F.lit("2023-12-01").cast("timestamp_ntz")).alias("revoked_at"))
+    return op.share_commands(commands, shares, entries(spark, sf_dir))
+
+
+@query("newest_shares", "SELECT event_id AS share_id, user_id % 4 AS owner_id, ts AS created_at FROM events WHERE user_id % 4 = 1 ORDER BY ts DESC, event_id DESC LIMIT 50")
+def newest_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = table(spark, sf_dir, "events").select(F.col("event_id").alias("share_id"), F.pmod("user_id", F.lit(4)).alias("owner_id"), F.col("ts").alias("created_at"))
+    return op.newest_shares(shares, 1)
