@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,15 +66,21 @@ def extracted(files: DataFrame, readers: dict[str, Reader] | None = None) -> Dat
     """Sections of files (object_id, mime_type, content); a file that can't be read is one row with ``error``.
 
     ``readers`` adds kinds (``pdf``, ``image``) that need a library or a service; without
-    one these are ``unsupported``. Rows pass through tasks in Arrow batches, each file on its own.
+    one these are ``unsupported``. Texts in UTF-8 are checked and decoded in the JVM and pass a task as whole Arrow columns; only the
+    other files are read one by one.
     """
     known: dict[str, Reader] = {"text": lambda b: [(None, "", decoded(b))], "docx": lambda b: [(None, "", docx_text(b))]} | (readers or {})
     fields = [("object_id", pa.string()), ("section_no", pa.int32()), ("page_number", pa.int32()), ("section", pa.string()), ("text", pa.string()), ("error", pa.string())]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for key, kind, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            plain = batch.column("plain").is_valid()
+            if plain.true_count:
+                some, n = batch.filter(plain), plain.true_count
+                columns = [some.column("object_id"), pa.array([0] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.array([""] * n), some.column("plain"), pa.nulls(n, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[x for x, _ in fields])
+            rest, out = batch.filter(pc.invert(plain)), []
+            for key, kind, content in zip(*(rest.column(i).to_pylist() for i in range(3)), strict=True):
                 row = dict.fromkeys([n for n, _ in fields]) | {"object_id": key}
                 try:
                     if kind not in known:
@@ -86,4 +93,7 @@ def extracted(files: DataFrame, readers: dict[str, Reader] | None = None) -> Dat
                     out.append(row | {"error": f"invalid: {type(e).__name__}"})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema(fields))
 
-    return files.select("object_id", extractor(F.col("mime_type")).alias("kind"), "content").mapInArrow(read, SECTIONS)
+    kind, text = extractor(F.col("mime_type")), F.coalesce(F.col("content"), F.lit(b"")).cast("string")
+    fits = (kind == "text") & F.lit("text" not in (readers or {})) & F.is_valid_utf8(text) & ~text.rlike(CONTROL.pattern)
+    rows = files.select("object_id", kind.alias("kind"), F.when(~fits, F.col("content")).alias("content"), F.when(fits, text).alias("plain"))
+    return rows.mapInArrow(read, SECTIONS)
