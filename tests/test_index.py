@@ -3,9 +3,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.functions.runs import packed, packed_runs
 from lodestar.operators import documents, search, tree
 from lodestar.operators.cells import VectorCells
 from lodestar.operators.index import SearchIndex, content_key
@@ -63,6 +65,47 @@ def test_index_reads_the_terms_of_the_query_only(spark, tmp_path):
     assert [tuple(r)[1] for r in index.fulltext_scores("word3 common").collect()] == [0.1]
 
 
+def test_index_build_sends_no_occurrences(spark, tmp_path):
+    """Postings and places are made where the chunks are read; before, each word and each number of a vector was a row of a shuffle."""
+    rng = random.Random(7)
+    rows = chunk_rows(spark, {f"o{i}": " ".join(rng.choice(WORDS) for _ in range(2000)) for i in range(20)})
+    rows.write.parquet(f"file://{tmp_path}/rows")
+    rows, store, jvm = spark.read.parquet(f"file://{tmp_path}/rows"), spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+
+    def sent():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = sent()
+    SearchIndex(spark, f"file://{tmp_path}/i").add(rows)
+    assert sum(n for k, n in sent().items() if k not in before) < 1000
+
+
+def test_blocks_that_two_tasks_read(spark, entries, tmp_path):
+    rng = random.Random(5)
+    rows = chunk_rows(spark, {f"o{i}": " ".join(rng.choice(WORDS) for _ in range(900)) for i in range(30)}).coalesce(1)
+    index, name = SearchIndex(spark, f"file://{tmp_path}/i"), "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set("parquet.block.size", 20_000)
+    spark.conf.set(name, "20000")
+    try:
+        index.add(rows)
+    finally:
+        spark.conf.set(name, before)
+        spark.conf.unset("parquet.block.size")
+    wanted = search.SearchInput("red stone", limit=100, owner_id=1)
+    assert sorted(map(tuple, index.fulltext_candidates(entries, wanted).collect())) == sorted(map(tuple, search.fulltext_candidates(entries, rows, wanted).collect()))
+    assert sorted(map(tuple, index.semantic_candidates(entries, wanted).collect())) == sorted(map(tuple, search.semantic_candidates(entries, rows, wanted).collect()))
+
+
+def test_runs_are_packed_at_once():
+    values = np.concatenate([np.arange(-100, 100), np.arange(-30_000, 30_000, 999), [1 << 40, 127, 128, -128, -129]])
+    starts = np.array([0, 3, 60, 199, 200, 230, len(values) - 5, len(values) - 4, len(values) - 2])
+    ends = np.append(starts[1:], len(values))
+    assert packed_runs(values, starts, ends).to_pylist() == [packed(values[i:j]) for i, j in zip(starts, ends, strict=True)]
+
+
 def test_content_key_follows_the_files(spark, tmp_path):
     at = f"file://{tmp_path}/t"
     spark.range(3).write.parquet(at)
