@@ -64,11 +64,22 @@ def window_counts(requests: DataFrame, width: str = "1 day") -> DataFrame:
 
 
 def failure_windows(calls: DataFrame, seconds: int = WINDOW_SECONDS, least: int = LEAST_REQUESTS, rate: float = FAILURE_RATE) -> DataFrame:
-    """Each call with the ``requests`` and ``failures`` of its key in the seconds up to it, and whether they would open a breaker."""
+    """Each call with the ``requests`` and ``failures`` of its key in the seconds up to it, and whether they would open a breaker.
+
+    Time is cut into buckets of ``seconds``. Those seconds are the call's bucket so far, and what the bucket before has counted without the calls that
+    have left: running sums of a key and bucket, so a call costs the same however many are in its window, and a busy key is many tasks.
+    """
     at = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    span = Window.partitionBy("key").orderBy(at).rangeBetween(1 - seconds, 0)
-    both = calls.withColumns({"requests": F.count("*").over(span), "failures": F.sum(F.when(F.col("success"), 0).otherwise(1)).over(span)})
-    return both.withColumn("opens", (F.col("requests") >= least) & (F.col("failures") >= rate * F.col("requests")))
+    timed = calls.withColumns({"_at": at, "_bucket": F.floor(at / seconds), "_n": F.lit(1).cast("long"), "_f": F.when(F.col("success"), 0).otherwise(1).cast("long"), "_own": F.lit(True)})
+    sums = [F.sum("_n").alias("_n"), F.sum("_f").alias("_f")]
+    counts = timed.filter("_at IS NOT NULL").groupBy("key", "_at", "_bucket").agg(*sums)
+    after = F.col("_bucket") + 1
+    kept = counts.groupBy("key", after.alias("_bucket")).agg(*sums).withColumn("_at", F.col("_bucket") * seconds)
+    left = counts.select("key", after.alias("_bucket"), (F.col("_at") + seconds).alias("_at"), (-F.col("_n")).alias("_n"), (-F.col("_f")).alias("_f"))
+    both = timed.unionByName(kept.unionByName(left), allowMissingColumns=True)
+    span = Window.partitionBy("key", "_bucket").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    found = both.withColumns({"requests": F.sum("_n").over(span), "failures": F.sum("_f").over(span)}).filter("_own")
+    return found.select(*calls.columns, "requests", "failures").withColumn("opens", (F.col("requests") >= least) & (F.col("failures") >= rate * F.col("requests")))
 
 
 class Breaker:

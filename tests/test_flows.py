@@ -136,3 +136,21 @@ def test_limits_by_scope(spark, tmp_path):
     assert allowed() == [2, 4]
     feed(spark, source, [(20, "ask", 2, at(0)), (21, "ask", 2, at(0)), (22, "ask", 2, at(1))], schema)
     assert allowed() == [2, 4, 21]
+
+
+def test_windows_cost_no_more_in_a_busy_key(spark):
+    """200,000 calls of one key in one window: with a frame summed anew for each call this was 2 * 10^10 steps."""
+    rows = spark.range(200_000).select(F.lit(1).alias("key"), F.col("id").alias("call_id"), F.timestamp_seconds(F.col("id") % 1000 + 7_000).alias("ts"), (F.col("id") % 3 > 0).alias("success"))
+    found = events.failure_windows(rows, seconds=400, least=5)
+    at = {r.s: (r.requests, r.failures, r.n) for r in found.groupBy((F.unix_seconds("ts") - 7_000).alias("s")).agg(F.max("requests").alias("requests"), F.max("failures").alias("failures"), F.countDistinct("requests", "failures").alias("n")).collect()}
+    of = {r.s: (r.n, r.f) for r in rows.groupBy((F.unix_seconds("ts") - 7_000).alias("s")).agg(F.count("*").alias("n"), F.count_if(~F.col("success")).alias("f")).collect()}
+    assert at == {s: (*(sum(of[x][k] for x in range(max(0, s - 399), s + 1)) for k in (0, 1)), 1) for s in range(1000)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(key#" in plan and "_bucket#" in plan
+
+
+def test_windows_of_calls_without_a_time_or_key(spark):
+    rows = [(k, i, t and at(t), i % 2 == 0) for i, (k, t) in enumerate([(1, None), (1, None), (None, 5), (None, 5.5), (1, 5), (1, 15), (1, 14.9), (1, None)])]
+    calls = spark.createDataFrame(rows, "key int, call_id int, ts timestamp, success boolean")
+    got = {r.call_id: (r.requests, r.failures) for r in events.failure_windows(calls, seconds=36_000, least=2).collect()}
+    assert got == {0: (3, 2), 1: (3, 2), 7: (3, 2), 2: (1, 0), 3: (2, 1), 4: (1, 0), 6: (2, 0), 5: (2, 1)}
