@@ -1,7 +1,7 @@
 """Streams that wait: delivery at a due time, expiry unless something ends in time, and limits per key and window.
 
-State is kept by Spark (RocksDB) and timers follow the watermark. Waiting rows are dealt into shards by their
-id; a shard holds its rows in one list and has one timer, for the earliest of them, so a batch costs a few calls of
+State is kept by Spark (RocksDB) and timers follow the watermark. Rows are dealt into shards by their
+id; a shard holds its rows in one list of Arrow pieces and has one timer, for the earliest of them, so a batch costs a few calls of
 the state store for a shard and not several for a row.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,14 +21,38 @@ SHARDS = 64
 SCOPE_LIMITS = {"search": 60, "ask": 20, "reprocess": 6}
 
 
+#: Rows of a piece of a shard's state.
+PIECE_ROWS = 1 << 14
+PIECES = T.StructType([T.StructField("rows", T.BinaryType())])
+
+
+def pieces(rows: pd.DataFrame, schema: pa.Schema) -> list[tuple[bytes]]:
+    """Rows as values of a list state, many in each."""
+    table = pa.Table.from_pandas(rows[schema.names], schema, preserve_index=False)
+    return [(_stream(batch),) for batch in table.combine_chunks().to_batches(PIECE_ROWS)]
+
+
+def _stream(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def whole(state, schema: pa.Schema) -> pd.DataFrame:
+    """The rows of a list state."""
+    held = [pa.ipc.open_stream(piece).read_all() for (piece,) in state.get()] if state.exists() else []
+    return pa.concat_tables([schema.empty_table(), *held]).to_pandas()
+
+
 class Waiting(StatefulProcessor):
     """Rows of a shard (``id``, ``at``, ``due``, ``ends``, ``payload``) until the watermark reaches their due time; a row that ends takes its id's row away if it came in time."""
 
-    STATE = T.StructType([T.StructField("id", T.StringType()), T.StructField("at", T.LongType()), T.StructField("due", T.LongType()), T.StructField("ends", T.BooleanType()), T.StructField("payload", T.StringType())])
+    STATE = pa.schema([("id", pa.string()), ("at", pa.int64()), ("due", pa.int64()), ("ends", pa.bool_()), ("payload", pa.string())])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.STATE)
+        self.waiting = handle.getListState("waiting", PIECES)
 
     def _turn(self, rows: pd.DataFrame, now: int) -> pd.DataFrame:
         """Keeps what isn't due and returns what is."""
@@ -43,13 +68,12 @@ class Waiting(StatefulProcessor):
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if len(left):
-            self.waiting.put([(str(i), int(a), int(d), bool(e), p) for i, a, d, e, p in left[["id", "at", "due", "ends", "payload"]].itertuples(index=False)])
+            self.waiting.put(pieces(left, self.STATE))
             self.handle.registerTimer(int(-(-left["due"].min() // 1000)))
         return out[["id", "due", "payload"]]
 
     def _held(self) -> pd.DataFrame:
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
-        return pd.DataFrame(rows, columns=self.STATE.names).astype({"at": "int64", "due": "int64", "ends": bool})
+        return whole(self.waiting, self.STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat([r[self.STATE.names] for r in rows]).astype({"id": str})
@@ -95,32 +119,47 @@ def expiries(sessions: DataFrame, keep: str = "7 days", shards: int = SHARDS) ->
 
 
 class Allowance(StatefulProcessor):
-    """The numbers of requests of a shard's users so far, by scope, user and window; the state store forgets each after its life time."""
+    """The numbers of requests of a shard's users so far, by scope, user and window (``who``); each is forgotten after its life time."""
 
-    KEY = T.StructType([T.StructField("scope", T.StringType()), T.StructField("user", T.StringType()), T.StructField("window", T.LongType())])
-    VALUE = T.StructType([T.StructField("n", T.LongType())])
+    STATE = pa.schema([("who", pa.string()), ("n", pa.int64()), ("until", pa.int64())])
 
     def __init__(self, limits: dict[str, int], life_ms: int):
         self.limits, self.life_ms = limits, life_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getMapState("counts", self.KEY, self.VALUE, self.life_ms)
+        self.handle = handle
+        self.counts = handle.getListState("counts", PIECES)
+
+    def _keep(self, known: pd.DataFrame) -> None:
+        self.counts.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if len(known):
+            self.counts.put(pieces(known, self.STATE))
+            self.handle.registerTimer(int(known["until"].min()))
+
+    def _known(self, now: int) -> pd.DataFrame:
+        known = whole(self.counts, self.STATE)
+        return known[known["until"] > now]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
+        now = timerValues.getCurrentProcessingTimeInMs()
+        new = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable").reset_index(drop=True)
         limit = new["scope"].map(self.limits).fillna(0).clip(lower=0)
-        allowed = pd.Series(True, index=range(len(new)))
-        new = new.reset_index(drop=True)
-        limit = limit.reset_index(drop=True)
-        held = new[limit > 0]
-        for (scope, user, window), part in held.groupby(["scope", "user_id", "window_start"], dropna=False):
-            at = (str(scope), str(user), int(pd.Timestamp(window).value // 1000))
-            before = self.counts.getValue(at)
-            place = range((before[0] if before else 0) + 1, (before[0] if before else 0) + 1 + len(part))
-            allowed[part.index] = [p <= limit[part.index[0]] for p in place]
-            self.counts.updateValue(at, (place[-1],))
+        allowed = pd.Series(True, index=new.index)
+        held = new.loc[limit > 0, "who"]
+        known = self._known(now)
+        place = held.groupby(held).cumcount() + 1 + held.map(known.set_index("who")["n"]).fillna(0).astype("int64")
+        allowed[held.index] = place <= limit[held.index]
+        last = place.groupby(held).max()
+        fresh = pd.DataFrame({"who": last.index, "n": last.to_numpy(), "until": now + self.life_ms})
+        self._keep(pd.concat([known[~known["who"].isin(fresh["who"])], fresh]))
         yield new[["event_id", "scope", "user_id", "window_start"]].assign(allowed=allowed)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._keep(self._known(timerValues.getCurrentProcessingTimeInMs()))
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -132,7 +171,11 @@ def stream_limited(requests: DataFrame, limits: dict[str, int] | None = None, wi
     """
     life_ms = int(pd.Timedelta(life).total_seconds() * 1000)
     shard = F.pmod(F.xxhash64("scope", "user_id"), F.lit(shards)).cast("int").alias("shard")
-    keyed = requests.select(shard, "event_id", "scope", "user_id", F.date_trunc(width, F.col("ts").cast("timestamp")).alias("window_start"), F.col("ts").cast("timestamp").alias("ts"))
+    start = F.date_trunc(width, F.col("ts").cast("timestamp"))
+    # one text for each scope, user and window, in which nulls and separators can't be mistaken
+    parts = [F.unix_micros(start).cast("string"), F.concat(F.length("scope").cast("string"), F.lit(":"), "scope"), F.concat(F.lit(":"), F.col("user_id").cast("string"))]
+    who = F.concat(F.coalesce(parts[0], F.lit("-")), F.lit(":"), *[F.coalesce(p, F.lit("-")) for p in parts[1:]])
+    keyed = requests.select(shard, "event_id", "scope", "user_id", start.alias("window_start"), F.col("ts").cast("timestamp").alias("ts"), who.alias("who"))
     kinds = {f.name: f.dataType.simpleString() for f in keyed.schema.fields}
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("event_id", "scope", "user_id", "window_start")) + ", allowed boolean"
     return keyed.groupBy("shard").transformWithStateInPandas(Allowance(SCOPE_LIMITS if limits is None else limits, life_ms), schema, "Append", "ProcessingTime")
