@@ -224,3 +224,14 @@ def test_known_groups_are_one_node():
     assert forest == groups([*same, *near])
     # a forest: every edge joins two groups
     assert len(a) == len(set(groups(same))) - len(set(forest))
+
+
+def test_many_edges_of_a_group_are_thinned(spark):
+    """A group of 400 nodes with 60,000 edges comes into the rounds with fewer edges than nodes, and the components stay."""
+    rows = spark.range(60_000).select((F.xxhash64("id") % 200 + 300).alias("a"), (F.xxhash64("id", F.lit(1)) % 200 + 300).alias("b")).unionByName(spark.createDataFrame([(900, 901), (902, 901), (905, 905)], "a long, b long"))
+    ends = rows.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    assert components._thinned(ends, 1).count() < 410 < ends.count()
+    want = {r.x for r in ends.select(F.explode(F.array("u", "v")).alias("x")).distinct().collect()}
+    got = {r.node: r.root for r in components.connected_components(rows).collect()}
+    low = min(x for x in want if x < 900)
+    assert got == {x: 900 if x >= 900 else low for x in want}
