@@ -99,6 +99,16 @@ def test_blocks_that_two_tasks_read(spark, entries, tmp_path):
     assert sorted(map(tuple, index.semantic_candidates(entries, wanted).collect())) == sorted(map(tuple, search.semantic_candidates(entries, rows, wanted).collect()))
 
 
+def test_texts_of_objects_are_sent_once(spark):
+    """One exchange of texts; before, they went to a join and then again to their object."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert plan(drive.objects(spark, SMALL)).count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_runs_are_packed_at_once():
     values = np.concatenate([np.arange(-100, 100), np.arange(-30_000, 30_000, 999), [1 << 40, 127, 128, -128, -129]])
     starts = np.array([0, 3, 60, 199, 200, 230, len(values) - 5, len(values) - 4, len(values) - 2])
