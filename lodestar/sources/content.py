@@ -16,10 +16,28 @@ from pyspark.sql import functions as F
 from lodestar.functions.text import extractor
 
 MOST_TEXT_BYTES = 4 << 20
+#: Bytes of files that a task has in hand at a time; one larger file is a piece of its own.
+PIECE_BYTES = 8 << 20
 CONTROL = re.compile(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
 SECTIONS = "object_id string, section_no int, page_number int, section string, text string, error string"
 
 
+def pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about so many bytes: a batch holds rows by number, however long they are."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            # rows of very different lengths: a slice is halved while it is too large
+            waiting = [part]
+            while waiting:
+                part = waiting.pop()
+                if part.num_rows > 1 and part.nbytes > 2 * most:
+                    waiting += [part.slice(part.num_rows // 2), part.slice(0, part.num_rows // 2)]
+                else:
+                    yield part
+
+
 def blobs(spark: SparkSession, path: str, most_bytes: int) -> DataFrame:
     """Files under a path as ``path``, ``length`` and ``content``; larger ones are pruned before they are read."""
     return spark.read.format("binaryFile").load(path).filter(F.col("length") <= most_bytes).select("path", "length", "content")
@@ -73,7 +91,7 @@ def extracted(files: DataFrame, readers: dict[str, Reader] | None = None) -> Dat
     fields = [("object_id", pa.string()), ("section_no", pa.int32()), ("page_number", pa.int32()), ("section", pa.string()), ("text", pa.string()), ("error", pa.string())]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             plain = batch.column("plain").is_valid()
             if plain.true_count:
                 some, n = batch.filter(plain), plain.true_count

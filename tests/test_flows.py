@@ -3,9 +3,11 @@
 import datetime
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestar.operators import documents, folds, providers, uploads
+from lodestar.sources import content
 from lodestar.streaming import events, metrics, timers
 
 
@@ -154,3 +156,11 @@ def test_windows_of_calls_without_a_time_or_key(spark):
     calls = spark.createDataFrame(rows, "key int, call_id int, ts timestamp, success boolean")
     got = {r.call_id: (r.requests, r.failures) for r in events.failure_windows(calls, seconds=36_000, least=2).collect()}
     assert got == {0: (3, 2), 1: (3, 2), 7: (3, 2), 2: (1, 0), 3: (2, 1), 4: (1, 0), 6: (2, 0), 5: (2, 1)}
+
+
+def test_files_come_in_pieces_by_bytes():
+    """A batch of long files is worked on in slices; before, a whole batch of 10,000 rows was copied several times."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([b"x" * (1 if i % 3 else 10_000) for i in range(300)], pa.binary())], names=["k", "content"])
+    parts = list(content.pieces([batch], 50_000))
+    assert [k for p in parts for k in p.column("k").to_pylist()] == list(range(300)) and max(p.nbytes for p in parts) <= 100_000
+    assert [p.num_rows for p in content.pieces([batch.slice(0, 1)], 10)] == [1] and not list(content.pieces([batch.slice(0, 0)], 10))
