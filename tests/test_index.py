@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from lodestar.operators import documents, search, tree
 from lodestar.operators.cells import VectorCells
 from lodestar.operators.index import SearchIndex, content_key
 from lodestar.operators.names import NameIndex, inner_trigrams
-from lodestar.plans import indexing, retrieval
+from lodestar.plans import indexing, registry, retrieval
 from lodestar.sources import drive
 from lodestar.sources.drive import table
 
@@ -196,3 +197,38 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "SortMergeJoin" in text and "Exchange" not in text
+
+
+def test_chunks_of_whole_texts(spark):
+    """Without a bound a text has the chunks that a plain loop cuts; before, 256 was the most that a caller got without a number."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("ab é😀", k=n)).strip() or "a" for n in (1, 1039, 1040, 1041, 1199, 1200, 1201, 1360, 2239, 2240, 2241, 2400, 5000, 400_000)]
+    rows = documents.chunked(spark.createDataFrame(list(enumerate(texts)), "object_id long, text string"), most=None).collect()
+    for i, whole in enumerate(texts):
+        clean, want, start = " ".join(whole.split()), [], 0
+        while True:
+            want.append(clean[start : start + 1200])
+            if start + 1200 >= len(clean):
+                break
+            start += 1040
+        assert [(r.ordinal, r.content) for r in sorted(rows, key=lambda r: r.ordinal) if r.object_id == i] == list(enumerate(want))
+
+
+def test_postings_search_reads_whole_texts(spark, tmp_path):
+    """The terms stand after the 256th chunk of one text; before, only the beginning of a text was indexed. Queries whose SQL has that bound keep it."""
+    filler = "stone " * 50_000
+    docs = [(1, "s", filler + "the end of day and night " + filler), (5, "s", "the back of house and " + filler), (9, "s", "short")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d[0], 1) for d in docs], "doc_id long, quality int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "ring")], "p_partkey long, p_name string").write.parquet(f"file://{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "labels", "part"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    places = {}
+    for name in ("postings_search", "fulltext_search", "semantic_postings", "hybrid_search"):
+        df, want = registry.QUERIES[name](spark, f"file://{tmp_path}"), con.sql(registry.ORACLES[name])
+        got = df.select(*want.columns).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr), name
+        places[name] = [(r.file_id, r.ordinal) for r in got if "ordinal" in df.columns]
+    assert sorted(places["postings_search"]) == [(1, 288), (5, 0)]
+    assert places["fulltext_search"] == [(5, 0)]
